@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import langid, maintext, packing, tokens
+from weftline.llm import langid, linkage, maintext, packing, tokens
 from weftline.shared import materialize, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link_batches(table(spark, sf_dir, "records"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maintext.main_lines(table(spark, sf_dir, "http_responses"))
 
@@ -27,5 +31,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.relabelled(langid.classify(documents, model))
 
 
-QUERIES = {"p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p6_ids": p6_ids, "p7_pack": p7_pack, "p8_found": p8_found}
 SQL: dict[str, str] = {}
