@@ -21,10 +21,12 @@ What counts as a repeat: the same hash (letter case aside), or title and long te
 same title. Case, accents, markup, punctuation and spacing do not count. Sources (``spider_id``) are never
 compared with each other.
 
-A pair with exactly the required similarity shares a band with probability 0.997, one with 0.87 or more with
-0.9999; candidates and buckets have no cap. Buckets of more than :data:`CROWD` classes, as a large group of
-slightly different copies makes in every band, are not paired off: their members are compared with pivots, and
-pairs of members only where the triangle inequality leaves a link possible (:func:`_crowded`).
+A pair with exactly the required similarity shares a band with probability 0.996, one with 0.83 with 0.999, one
+with 0.87 or more with 0.9999; candidates and buckets have no cap. Buckets of more than :data:`CROWD` classes, as a
+large group of slightly different copies makes in every band, are thinned out first: their members are compared
+with pivots, and pairs of members only where the triangle inequality leaves a link possible
+(:meth:`Linker._crowded`). What is left of a bucket, and every other one, is paired off by sketches alone, and
+only pairs of similar sketches leave the join.
 
 Defined results: payloads that are null, broken or no objects are left out; records without title and text are
 linked by hash only; a null source is left out; missing hashes match nothing; repeated rows count once; extra
@@ -52,11 +54,11 @@ from weftline.operators.components import components
 from weftline.shared import materialize, scratch
 
 SIMILARITY = 0.8
-BANDS, ROWS = 15, 5
+BANDS, ROWS = 18, 6
 #: Differing sketch bits up to which a pair is a candidate; 0.8 gives 6 on average, 18 is five deviations off.
 SKETCH_BITS = 18
-#: Classes in a bucket beyond which its pairs are not formed, and rows of a bucket of the tables.
-CROWD, ROWS_PER_FILE = 256, 4_000_000
+#: Classes in a bucket beyond which groups of near copies are first thinned out, and rows of a file of the tables.
+CROWD, ROWS_PER_FILE = 2000, 4_000_000
 
 # Names of fields that hold a title or a long text, and of objects whose names are not titles.
 TITLES = frozenset("title name subject headline product_name video_name item_name label heading caption".split())
@@ -303,7 +305,7 @@ class Linker:
 
     def members(self) -> DataFrame:
         """``id, spider_id, batch_no, cls`` of all accepted records."""
-        return self.spark.read.schema("id string, spider_id string, batch_no long, cls long").parquet(f"{self.home}/members")
+        return self.spark.read.schema(_FEATURES).parquet(f"{self.home}/features").select("id", "spider_id", "batch_no", "cls").distinct()
 
     def links(self) -> DataFrame:
         """``a, b, share, weight``: links between classes by words; ``weight`` is the log odds of the other fields."""
@@ -317,10 +319,14 @@ class Linker:
     # a batch -----------------------------------------------------------------------------------------------
     def accept(self, records: DataFrame) -> None:
         """Link the rows of a batch with each other and with everything accepted before."""
+        path = f"{self.home}/features/accepted={self.step}"
+        features(records).write.parquet(path)
+        self.accept_features(self.spark.read.schema(_FEATURES).parquet(path))
+
+    def accept_features(self, rows: DataFrame) -> None:
+        """:meth:`accept` of rows that :func:`features` normalised and that lie below the features folder."""
         self.step += 1
-        rows = materialize(features(records), "features")
-        rows.select("id", "spider_id", "batch_no", "cls").distinct().write.mode("append").parquet(f"{self.home}/members")
-        fresh = rows.groupBy("cls").agg(F.first("words").alias("words"), F.xxhash64(F.first("spider_id")).alias("spider_key"), F.first("has_text").alias("has_text"), F.max("tkey").alias("tkey"))
+        fresh = rows.groupBy("cls").agg(F.first("words").alias("words"), F.xxhash64(F.first("spider_id")).alias("spider_key"), F.max("tkey").alias("tkey"))
         if self.step > 1:
             fresh = fresh.join(self._read("classes").select("cls"), "cls", "left_anti")
         self._append(fresh, "classes", "cls")
@@ -328,8 +334,7 @@ class Linker:
         self._append(block_keys(own), "keys", "key")
         exact = rows.select("cls", "has_text", F.explode(F.array(F.struct(F.col("hkey").alias("key"), F.lit(False).alias("title")), F.struct(F.col("tkey").alias("key"), F.lit(True).alias("title")))).alias("k")).select("k.key", "cls", "k.title", "has_text")
         self._append(exact.where("key is not null").distinct(), "exact", "key")
-        links = materialize(self._same_key().unionByName(self._similar()), "links")
-        self._join(links)
+        self._join(self._same_key().unionByName(self._similar()))
 
     def _same_key(self) -> DataFrame:
         """Links of the classes of this step by equal hash or title: each to one anchor of its key."""
@@ -346,17 +351,22 @@ class Linker:
         keys = self._read("keys")
         probe = keys.where(F.col("step") == self.step)
         touched = keys if self.step == 1 else keys.join(probe.select("key").distinct().hint("shuffle_hash"), "key", "left_semi")
-        crowded = materialize(touched.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowded")
-        some = crowded.limit(1).count() > 0
-        if some:
-            probe = probe.join(crowded, "key", "left_anti")
+        full = touched.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key")
+        if full.isEmpty():
+            return self._checked(self._near(probe, keys))
+        crowded = materialize(full, "crowded")
+        links, rest = self._crowded(keys.join(crowded, "key").select("key", "cls", "sketch", "step"))
+        pairs = self._near(probe.join(crowded, "key", "left_anti"), keys).unionByName(self._near(rest.where(F.col("step") == self.step), rest)).distinct()
+        return self._checked(pairs).unionByName(links)
+
+    def _near(self, probe: DataFrame, keys: DataFrame) -> DataFrame:
+        """Pairs of a bucket with similar sketches, one of them new. The probing side is this batch alone; history
+        streams past it, bucket by bucket, without a shuffle."""
         p = probe.select("key", F.col("cls").alias("a"), F.col("sketch").alias("s"))
         q = keys.select("key", F.col("cls").alias("b"), F.col("sketch").alias("t"), F.col("step").alias("since"))
-        # the probing side is this batch alone; history streams past it, bucket by bucket, without a shuffle
         bits = F.bit_count(F.col("s").bitwiseXOR(F.col("t")))
         near = (bits <= SKETCH_BITS) & (F.col("a") != F.col("b")) & ((F.col("since") < self.step) | (F.col("a") < F.col("b")))
-        found = self._checked(q.join(p.hint("shuffle_hash"), "key").where(near).select("a", "b", bits.alias("bits")).distinct())
-        return found.unionByName(self._crowded(keys, crowded)) if some else found
+        return q.join(p.hint("shuffle_hash"), "key").where(near).select("a", "b", bits.alias("bits")).distinct()
 
     def _compared(self, pairs: DataFrame) -> DataFrame:
         """Pairs with their share of common words and the comparison of their other fields; more is more alike."""
@@ -371,37 +381,46 @@ class Linker:
 
     def _checked(self, pairs: DataFrame) -> DataFrame:
         level = F.floor((SKETCH_BITS - F.col("bits")) / 4).cast("int")
-        seen = materialize(self._compared(pairs).withColumn("c_sketch", level), "compared")
+        seen = self._compared(pairs).withColumn("c_sketch", level)
         if self.weights is None:
+            seen = materialize(seen, "compared")
             # counts per pattern: at most 5 * 3 * 5 rows
             patterns = [((r.c_sketch, r.c_title, r.c_size), r["count"]) for r in seen.groupBy(*Weights.FIELDS).count().collect()]
             if sum(n for _, n in patterns) >= 50:
                 self.weights = Weights.learn(patterns)
         weight = self.weights.column() if self.weights else F.lit(None).cast("double")
-        kept = seen.where(F.col("share") >= SIMILARITY).select("a", "b", "share", weight.alias("weight"))
-        kept.write.mode("append").parquet(f"{self.home}/links")
-        return kept.select("a", "b")
-
-    def _crowded(self, keys: DataFrame, crowded: DataFrame) -> DataFrame:
-        """Links inside buckets too full to pair off. Each round takes the smallest class of a bucket as pivot and
-        compares the others with it: 1 - Jaccard is a metric, so x and y can only be linked if their distances to
-        a common pivot differ by at most 1 - :data:`SIMILARITY`. Members linked to the pivot leave the bucket;
-        those left that come within twice the distance are compared with the leavers the pivot allows."""
-        open_ = materialize(keys.join(crowded, "key").select("key", "cls").distinct(), "crowd")
+        path = f"{self.home}/links/step={self.step}"
+        seen.where(F.col("share") >= SIMILARITY).select("a", "b", "share", weight.alias("weight")).write.parquet(path)
+        return self.spark.read.schema("a long, b long, share double, weight double").parquet(path).select("a", "b")
+
+    def _crowded(self, crowd: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links inside buckets too full to pair off, and what is left of these buckets.
+
+        Each round takes the smallest class of a bucket as pivot and compares the others with it. 1 - Jaccard is a
+        metric, so x and y can only be linked if their distances to a common pivot differ by at most
+        1 - :data:`SIMILARITY`. Members linked to the pivot leave the bucket; those left that come within twice
+        the distance are compared with the leavers the pivot allows. A bucket goes on while a round takes out a
+        tenth of it; after that it holds no large group of near copies.
+        """
         links = self.spark.createDataFrame([], "a long, b long")
-        while open_.limit(1).count():
-            pivots = open_.groupBy("key").agg(F.min("cls").alias("pivot"))
-            rest = open_.join(pivots, "key").where("cls <> pivot")
-            apart = self._compared(rest.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()).select(F.col("a").alias("cls"), F.col("b").alias("pivot"), (1 - F.col("share")).alias("d"))
-            rest = materialize(rest.join(apart, ["cls", "pivot"]), "crowd-rest")
-            limit = 1 - SIMILARITY + 1e-9
-            near, far = rest.where(F.col("d") <= limit), rest.where(F.col("d") > limit)
-            links = links.unionByName(near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct())
+        rest = self.spark.createDataFrame([], crowd.schema)
+        crowd = materialize(crowd, "crowd")
+        limit = 1 - SIMILARITY + 1e-9
+        while not crowd.isEmpty():
+            pivots = crowd.groupBy("key").agg(F.min("cls").alias("pivot"), F.count("*").alias("n"))
+            others = crowd.join(pivots, "key").where("cls <> pivot")
+            apart = self._compared(others.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()).select(F.col("a").alias("cls"), F.col("b").alias("pivot"), (1 - F.col("share")).alias("d"))
+            others = materialize(others.join(apart, ["cls", "pivot"]), "crowd-apart")
+            near, far = others.where(F.col("d") <= limit), others.where(F.col("d") > limit)
             edge = far.where(F.col("d") <= 2 * limit).select("key", F.col("cls").alias("b"), F.col("d").alias("e"))
             bridge = near.select("key", F.col("cls").alias("a"), "d").join(edge, "key").where(F.abs(F.col("d") - F.col("e")) <= limit).select("a", "b").distinct()
-            links = materialize(links.unionByName(self._compared(bridge).where(F.col("share") >= SIMILARITY).select("a", "b")), "crowd-links")
-            open_ = far.select("key", "cls")
-        return links
+            linked = near.select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
+            links = materialize(links.unionByName(linked).unionByName(self._compared(bridge).where(F.col("share") >= SIMILARITY).select("a", "b")), "crowd-links")
+            left = far.groupBy("key").agg(F.count("*").alias("m"), F.first("n").alias("n"))
+            go_on = left.where((F.col("m") > CROWD) & (F.col("m") < 0.9 * F.col("n"))).select("key")
+            rest = materialize(rest.unionByName(far.join(go_on, "key", "left_anti").select(*rest.columns)), "crowd-rest")
+            crowd = materialize(far.join(go_on, "key").select(*rest.columns), "crowd")
+        return links, rest
 
     def _join(self, links: DataFrame) -> None:
         """Union-find: links become links of representatives, joined clusters get the smallest one."""
@@ -435,12 +454,16 @@ class Linker:
 
 
 def link_batches(records: DataFrame) -> DataFrame:
-    """History (batch 0) first, then every further batch in the order of its number."""
+    """``id_a, id_b`` of a table of batches: history (batch 0) first, then every further batch in the order of its
+    number. The table is read and normalised once; every batch is then accepted on its own."""
     spark = records.sparkSession
-    numbers = [r[0] for r in records.where("batch_no is not null").select("batch_no").distinct().orderBy("batch_no").limit(100_000).collect()]
     linker = Linker(spark, records.count())
+    features(records.where("batch_no is not null")).withColumn("batch", F.col("batch_no")).write.partitionBy("batch").parquet(f"{linker.home}/features")
+    rows = spark.read.schema(_FEATURES + ", batch long").parquet(f"{linker.home}/features")
+    # the numbers of the batches, one each
+    numbers = sorted(r[0] for r in rows.select("batch").distinct().collect())
     for n in numbers:
-        linker.accept(records.where(F.col("batch_no") == n))
+        linker.accept_features(rows.where(F.col("batch") == n).drop("batch"))
     if not numbers:
         return spark.createDataFrame([], "id_a string, id_b string")
     out = materialize(linker.repeats(), "repeats")
