@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line belongs to the host, not to the page, if it stands on at least this share of the host's pages ...
@@ -67,23 +67,38 @@ _MENU = re.compile(r"^[^.!?。！？\t]{1,30}(?: {2,}[^.!?。！？\t ]{1,20}(?:
 _ENDS = re.compile(r"[.!?。！？…][\"'”»)\]]*$")
 
 
+_ANYWHERE = tuple((p, kind) for kind in ("legal", "letter") for p in PHRASES[kind])
+_AT_START: dict[str, list[tuple[str, str]]] = {}
+for _kind, _phrases in PHRASES.items():
+    for _p in _phrases if _kind not in ("legal", "letter") else ():
+        _AT_START.setdefault(_p[:2], []).append((_p, _kind))
+_OPEN = frozenset(("cookie", "skip", "share", "related", "login", "missing"))  # announcements that go on after the phrase
+
+
 def kind_of(text: str) -> str | None:
     """What furniture a stretch of text announces itself as, if any."""
     low = text.lower().strip()
     if not low:
         return None
-    if low.startswith("©") or _BYLINE.match(text):
-        return "legal" if low[0] == "©" else "byline"
-    for kind, phrases in PHRASES.items():
-        for p in phrases:
-            if p in low:
-                if kind in ("legal", "letter") or low.startswith(p) and (kind in ("cookie", "skip", "share", "related", "login", "missing") or len(low) <= len(p) + 3):
-                    return kind
-    if low.rstrip(" .").endswith(MORE) or low.endswith(("…", "...")) and len(low) < 140:
+    if low[0] == "©":
+        return "legal"
+    n = len(low)
+    if n < 160 and _BYLINE.match(text):
+        return "byline"
+    for p, kind in _ANYWHERE:
+        if p in low:
+            return kind
+    for p, kind in _AT_START.get(low[:2], ()):
+        if low.startswith(p) and (kind in _OPEN or n <= len(p) + 3):
+            return kind
+    if low.endswith(("…", "...")) and n < 140 or low.rstrip(" .").endswith(MORE):
         return "teaser"
-    if _COMMENTER.match(text):
-        return "commenter"
-    return "crumb" if _CRUMB.match(text) or _MENU.match(text) else None
+    if n < 200:
+        if _COMMENTER.match(text):
+            return "commenter"
+        if _CRUMB.match(text) or _MENU.match(text):
+            return "crumb"
+    return None
 
 
 class _Tree:
@@ -226,7 +241,7 @@ def page_lines(body: str) -> list[int]:
     inside = [False] * n
     for i in range(n):
         inside[i] = i == main or tree.parent[i] >= 0 and inside[tree.parent[i]]
-    kinds = [kind_of(x) for x in said]
+    kinds = [kind_of(x) if inside[b] else None for x, (b, _) in zip(said, blocks)]
     dropped: set[int] = set()  # blocks whose container announces itself as furniture
     for k, (b, _) in enumerate(blocks):
         if inside[b] and kinds[k] in ("cookie", "comments", "related", "share", "login", "advert", "skip"):
@@ -386,8 +401,11 @@ def candidate_lines(responses: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema).select("response_id", "host", "line_no", _line_hash(F.col("line")).alias("line_hash"))
 
 
-def _line_hash(line):
-    return F.xxhash64(F.trim(F.regexp_replace(line, r"<[^>]*>|\s+", " ")))
+def _line_hash(line: Column) -> Column:
+    """Hash of a line without its indentation and the tags around a paragraph."""
+    for tag in ("<p>", "</p>", "<div>", "</div>"):
+        line = F.replace(line, F.lit(tag), F.lit(""))
+    return F.xxhash64(F.trim(line))
 
 
 def repeated_lines(responses: DataFrame, share: float = HOST_SHARE, pages: int = HOST_PAGES) -> DataFrame:
