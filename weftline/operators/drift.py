@@ -130,7 +130,7 @@ _RENAMED_ARROW = pa.schema([("origin", pa.string()), ("spider_id", pa.string()),
 def observe(df: DataFrame, origin: str, spider_id: str, file_no: str, document: str) -> DataFrame:
     """Fingerprints (rows with ``print``) and partial value profiles (rows with ``path``) of all documents."""
     rows = df.select(
-        F.lit(origin).alias("origin"), F.col(spider_id).cast("string").alias("spider_id"), F.col(file_no).cast("bigint").alias("file_no"), F.xxhash64(*df.columns).alias("row_hash"), F.col(document).alias("document")
+        F.lit(origin).alias("origin"), F.col(spider_id).cast("string").alias("spider_id"), F.col(file_no).cast("bigint").alias("file_no"), F.xxhash64(*[F.to_json(c) if "<" in kind else F.col(f"`{c}`") for c, kind in df.dtypes]).alias("row_hash"), F.col(document).alias("document")
     ).where("spider_id is not null and file_no is not null and document is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -47,4 +47,16 @@ later AS (SELECT b.target_type, b.target_id, arg_max(s.status, s.n) AS status FR
 SELECT b.target_type, b.target_id, coalesce(l.status, nullif(b.status, chr(0))) AS to_status
 FROM base b LEFT JOIN later l ON l.target_type = b.target_type AND l.target_id = b.target_id
 WHERE b.kind IN ('created', 'enqueued')""",
+    "p4_found": r"""
+WITH once AS (SELECT DISTINCT id, payload_json FROM records WHERE json_valid(payload_json)),
+parsed AS (SELECT id AS rid, CASE WHEN json_type(payload_json) = 'VARCHAR' THEN json_extract_string(payload_json, '$') ELSE payload_json END AS j FROM once),
+tree AS (SELECT rid, t.fullkey AS k FROM parsed, json_tree(j) t WHERE json_valid(j) AND t.type = 'OBJECT' AND suffix(t.fullkey, ']')),
+v AS (SELECT DISTINCT id, thumbnails, playlists FROM peertube_public_videos),
+th AS (SELECT id, unnest(thumbnails) AS e, generate_subscripts(thumbnails, 1) - 1 AS i FROM v),
+pl AS (SELECT id, unnest(playlists) AS e, generate_subscripts(playlists, 1) - 1 AS i FROM v),
+fl AS (SELECT id, i, unnest(e.files) AS f, generate_subscripts(e.files, 1) - 1 AS k FROM pl WHERE e IS NOT NULL)
+SELECT 'records' AS origin, rid AS record_key, regexp_replace(regexp_replace(k, '\[\d+\]', '', 'g'), '^\$\.?', '') AS path, array_to_string(regexp_extract_all(k, '\[(\d+)\]', 1), '.') AS pos FROM tree
+UNION ALL SELECT 'peertube_public_videos', CAST(id AS VARCHAR), 'thumbnails', CAST(i AS VARCHAR) FROM th WHERE e IS NOT NULL
+UNION ALL SELECT 'peertube_public_videos', CAST(id AS VARCHAR), 'playlists', CAST(i AS VARCHAR) FROM pl WHERE e IS NOT NULL
+UNION ALL SELECT 'peertube_public_videos', CAST(id AS VARCHAR), 'playlists.files', i || '.' || k FROM fl WHERE f IS NOT NULL""",
 }
