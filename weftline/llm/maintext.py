@@ -59,6 +59,7 @@ _NAMES = re.compile(r"(?:^|[\s_-])(?:notice|cookie|consent|share|social|comments
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(?P<raw>script|style|template|noscript|svg|iframe|textarea)\b[^>]*>.*?(?:</(?P=raw)\s*>|$)|<(?P<end>/?)(?P<tag>[A-Za-z][A-Za-z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|<[!?][^>]*(?:>|$)", re.S | re.I)
 _CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_WORDY = re.compile(r"\w")
 _SPACE = re.compile(r"\s+")
 _BYLINE = re.compile(r"^[^.!?。！？]{1,60}\s[·|•–-]\s*(?:\d{1,4}[./-]\d{1,2}[./-]\d{1,4}|[^·]{0,20}\d{4}).{0,40}$")
 _COMMENTER = re.compile(r"^\S+(?: \S+){0,2}, \d{1,2}:\d{2}$")
@@ -281,7 +282,7 @@ def page_lines(body: str) -> list[int]:
             continue
         for line, text, _ in parts:
             for j, piece in enumerate(text.split("\n")):
-                if piece and not piece.isspace():
+                if _WORDY.search(piece):
                     found.add(line + j)
     return sorted(found)
 
