@@ -15,6 +15,7 @@ favours the document's main language, so that one odd sentence needs evidence to
 Confidences are the calibrated posteriors.
 
 Defined results: null, empty and blank texts and texts without any sentence have no language and no parts;
+without any labelled sample nothing has a language;
 ties go to the language that comes first in :data:`LANGS`; labels are compared after :func:`label_language`.
 """
 
@@ -145,7 +146,7 @@ class Model:
                         if i >= len(self.table):
                             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                         idx, val = word_vector(w, self.idf)
-                        self.table[i] = (self.weights[idx] * val[:, None]).sum(0)
+                        self.table[i] = val @ self.weights[idx]
                     out[k] = i
         return np.array(out)
 
@@ -158,12 +159,12 @@ class Model:
 
 
 def word_vector(word: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers and TF-IDF weights of length 1 of a word's n-grams."""
+    """Bucket numbers and TF-IDF weights of length 1 of a word's n-grams, one entry per occurrence."""
     if len(word) > 40:
         word = word[:40]  # a run without spaces, no word of any language
-    idx, n = np.unique([_bucket(g) for g in _grams(word)], return_counts=True)
-    val = n * idf[idx]
-    return idx, val / (np.linalg.norm(val) or 1.0)
+    idx = np.array([crc32(g.encode("utf-8", "surrogatepass")) for g in _grams(word)]) % BUCKETS
+    val = idf[idx]
+    return idx, val / (np.sqrt(val @ val) or 1.0)
 
 
 def _vectors(rows: list[list[str]], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -237,7 +238,7 @@ def fit(samples: DataFrame, documents: DataFrame | None = None) -> Model:
             rows += [s for s in found if s]
             labels += [lang] * sum(1 for s in found if s)
     if not rows:
-        raise ValueError("no labelled samples")
+        return Model(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32), np.ones(BUCKETS, np.float32))
     first = train(*_varied(rows, labels))
     if documents is None:
         return first
@@ -275,7 +276,7 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str | None], list
                     doc.append(d)
     langs: list[str | None] = [None] * len(texts)
     conf, parts = [0.0] * len(texts), [[] for _ in texts]
-    if not found:
+    if not found or not model.weights.any():
         return langs, conf, parts
     k = len(LANGS)
     scores, at = model.logits(found), np.array(doc)
