@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A line belongs to the host, not to the page, if it stands on at least this share of the host's pages ...
-HOST_SHARE = 0.12
+HOST_SHARE = 0.3
 #: ... and on at least this many different addresses.
 HOST_PAGES = 3
 
