@@ -106,6 +106,12 @@ def join_items(c: Column, separator: str, null: str) -> Column:
     return F.array_join(F.transform(c, lambda x: x.cast("string")), separator, null)
 
 
+def safe_name(c: Column) -> Column:
+    """A text as file name: other characters as ``-``, none of ``.`` and ``-`` at the ends, ``item`` if nothing is left."""
+    bare = F.regexp_replace(F.regexp_replace(c, r"[^A-Za-z0-9._-]+", "-"), r"^[.-]+|[.-]+$", "")
+    return F.when(c.isNotNull(), F.coalesce(present(bare), F.lit("item")))
+
+
 def remove_prefix(c: Column, prefix: str) -> Column:
     return F.when(F.startswith(c, F.lit(prefix)), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c) if prefix else c
 

@@ -233,7 +233,9 @@ def _shape_distance(o: dict, n: dict) -> float:
         return min(1.0, max(0.0, abs(ma - mb) - 0.8 * (sa + sb)) / 1.5 + abs(o["whole"] / a - n["whole"] / b) + min(0.3, abs(sa - sb) / (0.2 + sa + sb) * 0.4))
     if o["type"] == "array":
         ka, kb = set(o["keys"]), set(n["keys"])
-        alike = len(ka & kb) / len(ka | kb) if ka and kb else (0.75 if (o["objects"] > 0) == (n["objects"] > 0) else 0.6)
+        alike = len(ka & kb) / len(ka | kb) if ka and kb else 0.75 if not ka and not kb else 0.0
+        if min(o["objects"], n["objects"]) <= 2 and (ka or kb):
+            alike = max(alike, 0.62)  # too few objects to tell
         return min(1.0, 1 - alike + 0.1 * min(1.0, abs(o["size"] / a - n["size"] / b)))
     return 0.35 + 0.3 * abs(o["n_true"] / a - n["n_true"] / b)
 

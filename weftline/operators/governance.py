@@ -73,3 +73,24 @@ def failure_runs(df: DataFrame, key: list[str], order: list[str], ok: Column, th
     in_run = Window.partitionBy(*key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     fails = F.sum(1 - F.col("_ok")).over(in_run)
     return rows.withColumn("failures", fails.cast("bigint")).withColumn("cooldown", F.col("failures") >= threshold).drop("_ok", "_run")
+
+
+def newest(df: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows of every key, such as the attempts that are kept."""
+    w = Window.partitionBy(*key).orderBy(*[F.desc(c) for c in order])
+    return df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n).drop("_n")
+
+
+def waiting(df: DataFrame, key: list[str], wait: str) -> DataFrame:
+    """How often and how long requests of a key waited."""
+    return df.groupBy(*key).agg(F.count_if(F.col(wait) > 0).cast("bigint").alias("delays"), F.sum(wait).cast("bigint").alias("wait_total"))
+
+
+def response_checks(status: Column, body: Column, codes: list[int] = (), contains: str | None = None, lacks: str | None = None) -> Column:
+    """Whether an answer looks as it should: code, text in the body, text not in it."""
+    out = F.lit(True)
+    if codes:
+        out = out & status.isin(list(codes))
+    if contains:
+        out = out & body.contains(contains)
+    return F.coalesce(out & ~body.contains(lacks) if lacks else out, F.lit(False))

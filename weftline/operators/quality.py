@@ -79,3 +79,27 @@ def duration_ms(start: Column, end: Column) -> Column:
 def metric_rows(df: DataFrame, keep: list[str], counters: list[str]) -> DataFrame:
     """Counters of wide rows as ``keep…, metric, value``."""
     return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in counters]).unpivot(keep, counters, "metric", "value")
+
+
+def counters_wide(metrics: DataFrame, key: list[str], name: str, value: str, names: list[str]) -> DataFrame:
+    """One row per key with the sum of each named counter, 0 where there is none."""
+    one = lambda n: F.coalesce(F.sum(F.when(F.col(name) == n, F.col(value).cast("decimal(28,6)"))), F.lit(0)).cast("double")
+    return metrics.groupBy(*key).agg(*[one(n).alias(n) for n in names])
+
+
+def diagnose(raw: DataFrame, fields: list[str]) -> DataFrame:
+    """Per field of raw values (arrays): scopes, matches, scopes without match, and the first match."""
+    aggs = [F.count("*").alias("scopes")]
+    for i, f in enumerate(fields):
+        n = F.coalesce(F.size(f), F.lit(0))
+        aggs += [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"_n{i}"), F.count_if(n < 1).cast("bigint").alias(f"_m{i}"), F.first(F.get(f, F.lit(0)), ignorenulls=True).alias(f"_f{i}")]
+    one = raw.agg(*aggs)
+    rows = [F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("matches"), F.col(f"_m{i}").alias("missing"), F.col(f"_f{i}").cast("string").alias("first")) for i, f in enumerate(fields)]
+    return one.select("scopes", F.explode(F.array(*rows)).alias("x")).select("x.field", "scopes", "x.matches", "x.missing", "x.first")
+
+
+def run_report(records: DataFrame, rejects: DataFrame, decisions: DataFrame, fields: list[str], required: list[str]) -> DataFrame:
+    """One row about a run: rows, rejects, addresses checked and blocked, quality. One-row frames are joined."""
+    q = overall_status(field_quality(records, fields, required))
+    a = records.agg(F.count("*").alias("saved_records")).crossJoin(rejects.agg(F.count("*").alias("rejected")))
+    return a.crossJoin(decisions.agg(F.count("*").alias("checked_urls"), F.count_if(~F.col("allowed")).alias("blocked_urls"))).crossJoin(q)

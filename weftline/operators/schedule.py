@@ -98,3 +98,15 @@ def illegal_moves(events: DataFrame, key: list[str], order: list[str], status: s
     for a, bs in allowed.items():
         ok = ok | ((F.col("from_state") == a) & F.col("to_state").isin(bs)) if bs else ok
     return moves.where(~ok)
+
+
+def expired(lease_until: Column, now: Column) -> Column:
+    """Leases that ran out; none without an end."""
+    return F.coalesce(lease_until <= now, F.lit(False))
+
+
+def requeue(jobs: DataFrame, now: Column) -> DataFrame:
+    """Leased jobs whose lease ran out go back to the queue while attempts are left, else to the dead letters."""
+    out = (F.col("status") == "leased") & expired(F.col("lease_until"), now)
+    again = F.when(F.col("attempt") < F.col("max_attempts"), "queued").otherwise("dead_letter")
+    return jobs.withColumns({"status": F.when(out, again).otherwise(F.col("status")), "lease_until": F.when(~out, F.col("lease_until"))})

@@ -346,3 +346,130 @@ def delivery_duplicate_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lifecycle_events").select("event_id", "target_type", "target_id", "event_type", "reason", "feed_no").distinct()
     per = d.groupBy("target_type", "event_id").agg(F.count("*").alias("n")).groupBy("target_type").agg(F.sum("n").alias("deliveries"), F.count("*").alias("events"))
     return per.select("target_type", "deliveries", "events", quality.duplicate_rate(F.col("deliveries") - F.col("events"), F.col("deliveries")).alias("duplicate_rate"))
+
+
+@query("""
+WITH w AS (SELECT user_id, event_type, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS v FROM events GROUP BY ALL)
+SELECT user_id, coalesce(max(v) FILTER (event_type = 'view'), 0.0) AS "view", coalesce(max(v) FILTER (event_type = 'click'), 0.0) AS click, coalesce(max(v) FILTER (event_type = 'none'), 0.0) AS "none" FROM w GROUP BY user_id""")
+def counters_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.counters_wide(table(spark, sf_dir, "events"), ["user_id"], "event_type", "value", ["view", "click", "none"])
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20")
+def newest_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.newest(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], ["ts", "event_id"], 20).select("event_id", "user_id")
+
+
+@query("""
+WITH n AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+w AS (SELECT user_id, greatest(0, max(t - i * 3600000000) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) + i * 3600000000 - t) AS wait FROM n)
+SELECT user_id, count(*) FILTER (wait > 0) AS delays, CAST(sum(wait) AS BIGINT) AS wait_total FROM w GROUP BY user_id""")
+def rate_wait_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return governance.waiting(governance.rate_limit(table(spark, sf_dir, "events"), ["user_id"], "ts", 3_600_000_000, "event_id"), ["user_id"], "wait_us")
+
+
+@query("""
+SELECT o_orderkey AS job_id, CASE WHEN o_orderdate <= TIMESTAMP '1995-01-01' THEN CASE WHEN o_orderkey % 4 < 3 THEN 'queued' ELSE 'dead_letter' END ELSE 'leased' END AS status,
+  CASE WHEN o_orderdate > TIMESTAMP '1995-01-01' THEN o_orderdate END AS lease_until FROM orders""")
+def requeue_expired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"), F.lit("leased").alias("status"), F.col("o_orderdate").alias("lease_until"), (F.col("o_orderkey") % 4).alias("attempt"), F.lit(3).alias("max_attempts"))
+    return schedule.requeue(o, F.lit("1995-01-01").cast("timestamp_ntz")).select("job_id", "status", "lease_until")
+
+
+@query("""SELECT o_orderkey, CAST('0x' || substr(sha256('job-' || o_custkey || ':' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S+00:00')), 1, 8) AS BIGINT) % 301 AS jitter FROM orders""")
+def schedule_jitter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.concat(F.lit("job-"), F.col("o_custkey").cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", hashing.jitter_seconds(key, F.col("o_orderdate").cast("timestamp"), 300).alias("jitter"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderdate + to_seconds(CAST(60 * (1 + o_orderkey % 7) AS BIGINT)) WHEN o_orderstatus = 'O' THEN o_orderdate ELSE TIMESTAMP '2000-01-01' + to_seconds(CAST(60 * (1 + o_orderkey % 7) AS BIGINT)) END AS due FROM orders""")
+def interval_next_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("o_orderdate").cast("timestamp")
+    due = schedule.next_interval(F.when(F.col("o_orderstatus") == "F", d), F.when(F.col("o_orderstatus") == "O", d), F.lit("2000-01-01").cast("timestamp"), 60 * (1 + F.col("o_orderkey") % 7))
+    return table(spark, sf_dir, "orders").select("o_orderkey", due.cast("timestamp_ntz").alias("due"))
+
+
+@query("""
+SELECT doc_id, coalesce(nullif(regexp_replace(regexp_replace(coalesce(source, '') || '/' || kind || ' ' || doc_id, '[^A-Za-z0-9._-]+', '-', 'g'), '^[.-]+|[.-]+$', '', 'g'), ''), 'item') AS name FROM documents""")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat(F.coalesce("source", F.lit("")), F.lit("/"), "kind", F.lit(" "), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", transforms.safe_name(text).alias("name"))
+
+
+@query("""
+SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS from_state, event_type AS to_state FROM events
+QUALIFY from_state IS NOT NULL AND from_state <> to_state AND NOT (from_state = 'view' AND to_state IN ('click', 'purchase')) AND NOT (from_state = 'click' AND to_state = 'view')""")
+def illegal_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = schedule.illegal_moves(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", {"view": ["click", "purchase"], "click": ["view"]})
+    return got.select("event_id", "from_state", "to_state")
+
+
+@query("""
+SELECT response_id, status_code, CASE WHEN status_code IS NULL THEN 'network' WHEN status_code BETWEEN 200 AND 299 THEN NULL ELSE 'http_status' END AS error_type, coalesce(status_code IN (500, 503), false) AS retryable,
+  coalesce(status_code = 200 AND contains(body, '<p>') AND NOT contains(body, 'Sign up'), false) AS as_it_should FROM http_responses""")
+def response_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.col("status_code")
+    error = F.when(status.isNull(), "network").when(~governance.succeeded(status), "http_status")
+    checks = governance.response_checks(status, F.col("body"), [200], "<p>", "Sign up")
+    return table(spark, sf_dir, "http_responses").select("response_id", "status_code", error.alias("error_type"), governance.retryable(error, status, ["http_status"], [500, 503]).alias("retryable"), checks.alias("as_it_should"))
+
+
+@query("""
+WITH u AS (SELECT url, min(pos) AS pos FROM (SELECT url, response_id AS pos FROM http_responses WHERE url IS NOT NULL UNION ALL SELECT url, 10000000 + doc_id FROM documents WHERE url IS NOT NULL) GROUP BY url)
+SELECT url, pos FROM u""")
+def seeds_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.sources import seeds
+
+    a = table(spark, sf_dir, "http_responses").where("url is not null").select("url", F.col("response_id").alias("pos"))
+    b = table(spark, sf_dir, "documents").where("url is not null").select("url", (F.col("doc_id") + 10_000_000).alias("pos"))
+    return seeds.distinct_in_order(a.unionByName(b), "url", "pos")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(28,6))) AS DOUBLE) AS total FROM events GROUP BY ALL")
+def hourly_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.streaming import incremental as streams
+
+    got = streams.windows(table(spark, sf_dir, "events"), "ts", "1 hour", ["event_type"], "value")
+    return got.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
+
+
+@query("""
+WITH p AS (SELECT response_id, regexp_extract(body, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(body, '<a href')) AS links FROM http_responses WHERE body IS NOT NULL)
+SELECT response_id, title, links FROM p WHERE title <> ''""")
+def title_and_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = table(spark, sf_dir, "http_responses").where("body is not null")
+    title = transforms.regex_extract(F.col("body"), r"<title>(.*?)</title>")
+    return r.select("response_id", title.alias("title"), F.size(transforms.regex_all(F.col("body"), "<a href")).cast("bigint").alias("links")).where("title <> ''")
+
+
+@query()
+def html_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headlines and link targets by selectors, every page parsed once; checked by tests."""
+    from weftline.functions import htmlquery
+
+    rules = {"headline": {"selector": "h1"}, "links": {"selector": "a", "attribute": "href"}, "cells": {"xpath": "//td"}}
+    return htmlquery.extract(table(spark, sf_dir, "http_responses"), "response_id", "body", rules)
+
+
+@query()
+def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths with lists over all payloads; checked by tests."""
+    return jsonpath.values(table(spark, sf_dir, "records"), ["id"], "payload_json", {"thumbs": "thumbnails[].fileUrl", "amounts": "offers[].prices[].amount", "author": "detail.author.name", "tag": "tags[0]"})
+
+
+@query()
+def job_over_stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole job over the stored responses: scope, extraction, defaults, transforms, repeats."""
+    from weftline.plans import engine, job
+
+    r = table(spark, sf_dir, "http_responses").where("url is not null")
+    first = incremental.first_by(r, ["url"], ["response_id"]).select("url", "status_code", "body")
+    config = job.load({
+        "id": "stored", "start_urls": ["https://seed.example/"], "fields": [{"name": "headline", "selector": "h1", "transforms": ["normalize_space"], "default": "none"}, {"name": "first_link", "type": "attribute", "selector": "a", "attribute": "href"}],
+        "dedup": {"enabled": True, "keys": ["headline"]},
+    })
+    raw = engine.extract(first.select("url", "body"), config).join(first.select("url", "status_code"), "url").withColumn("pos", F.xxhash64("url"))
+    records, _ = engine.project(raw, config["fields"], ["url", "pos", "item_pos", "status_code"], F.col("url"))
+    out = engine._state(engine.Result(records, records.limit(0), records.limit(0)), config, None, None)
+    return out.records.select("headline", "first_link", "source_url", "unique_hash")

@@ -52,6 +52,13 @@ def numbered_attempts(requests: DataFrame, order: list[str]) -> DataFrame:
     return requests.withColumn("attempt", F.row_number().over(Window.partitionBy("url").orderBy(*order)))
 
 
+def parse(body: Column, kind: str) -> Column:
+    """Body as the job wants it: text and HTML as they are, JSON parsed (null if broken), binary never extracted."""
+    if kind == "json":
+        return F.try_parse_json(body)
+    return F.lit(None).cast("string") if kind == "binary" else body
+
+
 def sniff_json(body: Column) -> Column:
     """The body if it starts like JSON and is, else null."""
     return F.when(F.ltrim(body).rlike(r"^[\[{]") & F.try_parse_json(body).isNotNull(), body)
