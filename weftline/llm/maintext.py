@@ -45,7 +45,7 @@ PHRASES = {
     "advert": ("advertisement", "sponsored", "anzeige", "werbung", "publicité", "publicidad", "publicidade", "pubblicità", "advertentie", "annons", "реклама", "广告"),
     "letter": ("sign up for our", "subscribe to our", "weekly letter", "newsletter", "wochenbrief", "rundbrief", "abonnieren sie", "recevez notre lettre", "abonnez-vous", "reciba nuestra carta", "suscríbase", "suscríbete", "receba a nossa carta", "subscreva", "assine a nossa", "ricevi la nostra lettera", "ricevete la nostra lettera", "iscriviti", "ontvang onze", "schrijf u in voor", "abonneer", "få vårt", "prenumerera", "получайте наше письмо", "подпишитесь", "подписаться", "订阅我们", "订阅"),
     "legal": ("all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados", "todos os direitos reservados", "tutti i diritti riservati", "alle rechten voorbehouden", "alla rättigheter förbehållna", "все права защищены", "版权所有", "保留所有权利"),
-    "login": ("please log in", "log in to read", "sign in to continue", "bitte anmelden", "bitte melden sie sich an", "connectez-vous pour", "veuillez vous connecter", "inicie sesión para", "entre para continuar", "inicie sessão para", "accedi per", "log in om verder", "logga in för att", "войдите, чтобы", "请登录", "登录后"),
+    "login": ("please log in", "log in to read", "sign in to continue", "bitte anmelden", "bitte melden sie sich an", "connectez-vous pour", "veuillez vous connecter", "inicie sesión para", "entre para seguir", "entre para continuar", "inicie sessão para", "accedi per", "log in om verder", "logga in för att", "войдите, чтобы", "请登录", "登录后"),
     "missing": ("page not found", "seite nicht gefunden", "page introuvable", "página no encontrada", "página não encontrada", "pagina non trovata", "pagina niet gevonden", "sidan hittades inte", "страница не найдена", "找不到页面", "页面不存在"),
 }
 # Ends of teasers.
@@ -242,7 +242,9 @@ def page_lines(body: str) -> list[int]:
     inside = [False] * n
     for i in range(n):
         inside[i] = i == main or tree.parent[i] >= 0 and inside[tree.parent[i]]
-    kinds = [kind_of(x) if inside[b] else None for x, (b, _) in zip(said, blocks)]
+    kinds = [kind_of(x) if inside[b] or head is None else None for x, (b, _) in zip(said, blocks)]
+    if head is None and any(kind in ("missing", "login") and len(x) < 80 for kind, x in zip(kinds, said)):
+        return []
     dropped: set[int] = set()  # blocks whose container announces itself as furniture
     for k, (b, _) in enumerate(blocks):
         if inside[b] and kinds[k] in ("cookie", "comments", "related", "share", "login", "advert", "skip"):
