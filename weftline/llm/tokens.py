@@ -1,6 +1,8 @@
 """Token ids of a whole corpus by a public tokenizer, and back.
 
-The tokenizer file is read once per Python worker and its own library encodes whole texts in Arrow batches.
+The tokenizer file is read once per Python worker and its own library encodes Arrow batches of whole texts. Texts of
+common characters are split into words first, as the tokenizer itself does, so that the library encodes each word
+only once per worker (:class:`_Words`); the ids are the same.
 Byte-level vocabularies write every byte as one printable character; :func:`byte_table` maps them back, so that
 :func:`decode` can reverse ids whose tokens split a character: bytes are joined before they are read as UTF-8.
 :func:`encode_with_offsets` adds the character span of every token; tokens that share one character have the
@@ -16,8 +18,10 @@ from __future__ import annotations
 import base64
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -78,15 +82,58 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
         yield chunk
 
 
+#: Characters that the two splitters are sure to class alike; a text with any other goes to the library as a whole.
+_COMMON = re.compile("[\t\n\r -~\u00a1-\u024f\u0400-\u04ff\u2010-\u2027\u3001-\u303f\u4e00-\u9faf\uff01-\uff5e]*")
+#: Words kept per worker.
+KEPT_WORDS = 400_000
+
+
+class _Words:
+    """The library's ids of words met before. Byte-level merges never cross the borders at which the tokenizer
+    splits a text, so a text's ids are those of its words; the split is the one stated with the vocabularies."""
+
+    def __init__(self, path: str) -> None:
+        import public_tokenizers
+        import regex
+
+        self.library = tokenizer(path)
+        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.known: dict[str, list[int]] = {}
+
+    def ids(self, text: str) -> list[int]:
+        words = self.split(text)
+        known = self.known
+        if new := list(set(words).difference(known)):
+            if len(known) > KEPT_WORDS:
+                known.clear()
+                new = list(set(words))
+            known.update(zip(new, (e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False))))
+        return list(chain.from_iterable(map(known.__getitem__, words)))
+
+
+@lru_cache(maxsize=4)
+def _words(path: str) -> _Words | None:
+    """For byte-level vocabularies with the stated split; None for others."""
+    model = json.loads(Path(path).read_text())
+    pre = model.get("pre_tokenizer") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("normalizer") is None
+    try:
+        return _Words(path) if plain else None
+    except ImportError:
+        return None
+
+
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, and the number of ids of each text."""
-    found, sizes = [], []
-    for chunk in _chunks(texts):
+    words, common = _words(path), _COMMON.fullmatch
+    rows: list[list[int] | None] = [[] if not t else words.ids(t) if words and len(t) < 1_000_000 and common(t) else None for t in texts]
+    rest = [i for i, r in enumerate(rows) if r is None]
+    at = iter(rest)
+    for chunk in _chunks([texts[i] for i in rest]):
         for e in tokenizer(path).encode_batch_fast(chunk, add_special_tokens=False):
-            ids = e.ids
-            found.append(np.array(ids, np.int32))
-            sizes.append(len(ids))
-    return np.concatenate(found) if found else np.zeros(0, np.int32), np.array(sizes, np.int64)
+            rows[next(at)] = e.ids
+    sizes = np.fromiter(map(len, rows), np.int64, len(rows))
+    return np.fromiter(chain.from_iterable(rows), np.int32, int(sizes.sum())), sizes
 
 
 def _path(vocabulary: str, folder: str) -> str:
