@@ -40,9 +40,14 @@ def cron_matches(expression: str, t: Column) -> Column:
 def next_cron(expression: str, after: Column, days: int = 366) -> Column:
     """The first fitting minute later than ``after``; null if none comes within ``days``.
 
-    Days are narrowed first, then the few fitting minutes of a day: a row never expands to all its minutes.
+    Days are narrowed first, then the few fitting minutes of a day: a row never expands to all its minutes. How
+    many days must be looked at follows from the expression.
     """
     minute, hour, day, month, weekday = parse_cron(expression)
+    if len(month) == 12 and len(day) == 31:
+        days = min(days, 8)  # any weekday comes within a week
+    elif len(month) == 12 and len(weekday) == 7 and min(day) <= 28:
+        days = min(days, 32)
     start = F.date_trunc("minute", after) + F.expr("interval 1 minute")
     first_day = F.to_date(start)
     days_ = F.filter(
