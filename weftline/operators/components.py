@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.shared import materialize
+from weftline.shared import discard, materialize
 
 
 def _links(edges: DataFrame) -> DataFrame:
@@ -32,17 +32,20 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         ends = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e"))
         low = materialize(ends.groupBy(F.col("e.u").alias("u")).agg(F.least(F.min("e.v"), F.first("e.u")).alias("to")), "pointers")
-        far = low.select("u", F.col("to").alias("root"))
+        far, step_files = low.select("u", F.col("to").alias("root")), low
         while True:  # each time pointers reach three times as far; those of a star are there at once
             hop = lambda df, at, far=far: df.join(far.select(F.col("u").alias(at), F.col("root").alias(f"{at}_to")), at)
             step = hop(hop(far, "root").withColumnRenamed("root_to", "x"), "x").select("u", F.col("x").alias("before"), F.col("x_to").alias("root"))
-            step = materialize(step, "pointers")
+            last, step = step_files, materialize(step, "pointers")
+            step_files = step
+            discard(last)
             far = step.select("u", "root")
             if step.where("before <> root").isEmpty():
                 break
         at = far.select("u", "root")
         mapped = now.join(at.select(F.col("u").alias("a"), F.col("root").alias("x")), "a").join(at.select(F.col("u").alias("b"), F.col("root").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-        now = materialize(_links(mapped), "edges")
+        before, now = now, materialize(_links(mapped), "edges")
+        discard(before)
         step = at.select(F.col("u").alias("node"), "root")
         if done is None:
             done = step

@@ -4,8 +4,8 @@ Versioned fingerprints with explicit migration steps:
 
 1. :func:`observe` reads every document once. Its *fingerprint* is the set of (dotted path, type) of its
    non-null scalars and arrays. Documents leave only a hash of the fingerprint; values leave mergeable profiles
-   per (file, path): counts, lengths, character classes, numeric moments, keys of array elements and the
-   smallest hashes of distinct values. Nothing else of the payload is shuffled.
+   per (file, path): counts, lengths, character classes, numeric moments, keys of array elements and a
+   sketch of the values (smallest hash per bucket). Nothing else of the payload is shuffled.
 2. :func:`file_fields` counts types per file and field from the fingerprints.
 3. :func:`changes` compares each file with the one before: added, removed, retyped, and renamed where the
    profile of a removed path goes on under an added path.
@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.payloads import read_payload
-from weftline.shared import materialize
+from weftline.shared import discard, materialize
 
 FILE = ("origin", "spider_id", "file_no")
 TYPES = ("string", "number", "boolean", "array")
-#: Kept smallest hashes of distinct values per file and path.
+#: Buckets of a value sketch; each keeps the smallest hash of the values that fall into it.
 SKETCH = 48
 #: Profiles held by a task before it passes them on; only the number of partial rows depends on it.
 HELD = 40_000
@@ -73,7 +73,7 @@ class _Profile:
 
     def __init__(self) -> None:
         self.sums = [0.0] * len(_SUMS)
-        self.top: set[int] = set()
+        self.top: list[int | None] = [None] * SKETCH
         self.keys: set[str] = set()
 
     def add(self, v: object) -> None:
@@ -107,11 +107,9 @@ class _Profile:
             s[10] += y * y
             s[11] += v == int(v) if abs(v) < 1e300 and v == v else 0
             h = crc32(repr(float(v)).encode()) if abs(v) < 1e300 else 3
-        if len(self.top) < 4 * SKETCH:
-            self.top.add(h)
-        else:
-            self.top = set(sorted(self.top)[:SKETCH])
-            self.top.add(h)
+        low = self.top[h % SKETCH]
+        if low is None or h < low:
+            self.top[h % SKETCH] = h
 
 
 def _fingerprint(document: dict) -> list[tuple[str, object, str]]:
@@ -139,7 +137,7 @@ def observe(df: DataFrame, origin: str, spider_id: str, file_no: str, document:
 
         def flush() -> Iterator[pa.RecordBatch]:
             out = [
-                {"origin": k[0], "spider_id": k[1], "file_no": k[2], "path": k[3], "type": k[4], "sums": p.sums, "top": sorted(p.top)[:SKETCH], "keys": sorted(p.keys)}
+                {"origin": k[0], "spider_id": k[1], "file_no": k[2], "path": k[3], "type": k[4], "sums": p.sums, "top": p.top, "keys": sorted(p.keys)}
                 for k, p in held.items()
             ]
             held.clear()
@@ -202,7 +200,9 @@ def profiles(observed: DataFrame) -> DataFrame:
     """Merged profiles per file, path and type."""
     rows = observed.where("path is not null")
     sums = [F.sum(F.col("sums")[i]).alias(name) for i, name in enumerate(_SUMS)]
-    return rows.groupBy(*FILE, "path", "type").agg(*sums, F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("top")))), 1, SKETCH).alias("top"), F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys"))
+    top = F.array(*[F.min(F.get("top", F.lit(i))) for i in range(SKETCH)]).alias("top")
+    # equal key lists of partial profiles count once, so what is gathered is the variety of keys, not of tasks
+    return rows.groupBy(*FILE, "path", "type").agg(*sums, top, F.array_sort(F.array_distinct(F.flatten(F.collect_set("keys")))).alias("keys"))
 
 
 def transitions(fields: DataFrame) -> DataFrame:
@@ -250,10 +250,9 @@ def score(old: dict, new: dict, support: float) -> float:
     """
     if old["type"] != new["type"]:
         return -1.0
-    ta, tb = set(old["top"]), set(new["top"])
-    low = sorted(ta | tb)[: SKETCH if max(len(ta), len(tb)) >= SKETCH else None]
-    same = len([h for h in low if h in ta and h in tb]) / max(1, len(low))
-    distinct = min(len(ta), len(tb))
+    both = [(a, b) for a, b in zip(old["top"], new["top"]) if a is not None or b is not None]
+    same = sum(a == b for a, b in both) / max(1, len(both))
+    distinct = min(sum(a is not None for a, _ in both), sum(b is not None for _, b in both))
     wa, wb = _words(old["path"]), _words(new["path"])
     name = len(wa & wb) / max(1, min(len(wa), len(wb)))
     apart = _shape_distance(old, new)
@@ -309,6 +308,7 @@ def changes(observed: DataFrame) -> DataFrame:
 
     steps_pairs = judged.groupBy(*at).agg(F.collect_list(F.struct("support", "old", "new")).alias("candidates"))
     renamed = materialize(steps_pairs.mapInArrow(match, "origin string, spider_id string, old_no long, file_no long, old_path string, new_path string"), "drift-renamed")
+    discard(fields, pairs)
     cols = lambda kind, field, old_field: [*FILE, F.lit(kind).alias("change_kind"), field.alias("field"), old_field.alias("old_field")]
     new_in, old_in = renamed.select(*at, F.col("new_path").alias("path")), renamed.select(*at, F.col("old_path").alias("path"))
     none = F.lit("")
@@ -325,7 +325,10 @@ def drift(*observed: DataFrame) -> DataFrame:
     every = observed[0]
     for x in observed[1:]:
         every = every.unionByName(x)
-    return changes(materialize(every, "drift-observed"))
+    observed = materialize(every, "drift-observed")
+    out = changes(observed)
+    discard(observed)  # all that is left to read are the differences
+    return out
 
 
 def migration_rules(found: DataFrame) -> DataFrame:

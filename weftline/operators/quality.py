@@ -99,7 +99,9 @@ def diagnose(raw: DataFrame, fields: list[str]) -> DataFrame:
 
 
 def run_report(records: DataFrame, rejects: DataFrame, decisions: DataFrame, fields: list[str], required: list[str]) -> DataFrame:
-    """One row about a run: rows, rejects, addresses checked and blocked, quality. One-row frames are joined."""
-    q = overall_status(field_quality(records, fields, required))
-    a = records.agg(F.count("*").alias("saved_records")).crossJoin(rejects.agg(F.count("*").alias("rejected")))
-    return a.crossJoin(decisions.agg(F.count("*").alias("checked_urls"), F.count_if(~F.col("allowed")).alias("blocked_urls"))).crossJoin(q)
+    """``measure, value`` of a run: rows, rejects, addresses checked and blocked, quality."""
+    row = lambda df, name, value: df.agg(value.cast("string").alias("value")).select(F.lit(name).alias("measure"), "value")
+    out = row(records, "saved_records", F.count("*"))
+    for part in (row(rejects, "rejected", F.count("*")), row(decisions, "checked_urls", F.count("*")), row(decisions, "blocked_urls", F.count_if(~F.col("allowed")))):
+        out = out.unionByName(part)
+    return out.unionByName(overall_status(field_quality(records, fields, required)).select(F.lit("quality").alias("measure"), F.col("status").alias("value")))

@@ -37,7 +37,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends in files that outlive executors."""
     path = scratch(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames made by :func:`materialize` that nothing will read again."""
+    for df in frames:
+        if path := getattr(df, "_written_to", None):
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
