@@ -68,7 +68,7 @@ JOB = {
         {"name": "note", "selector": "b", "default": " none ", "transforms": ["strip"]},
     ],
     "pagination": {"type": "next_button", "next_selector": "a.next", "next_attribute": "href", "max_pages": 2},
-    "detail": {"url_field": "key", "fields": [{"name": "heading", "selector": "h1"}]}, "dedup": {"enabled": True, "keys": ["key"]},
+    "detail": {"url_field": "key", "fields": [{"name": "heading", "selector": "h1"}]}, "dedup": {"enabled": True, "keys": ["key"]}, "crawl_policy": {"enabled": True},
 }
 
 

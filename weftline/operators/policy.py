@@ -33,6 +33,7 @@ class Policy:
     cross_domain: bool = False
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
+    normalize: bool = True
     remove_fragment: bool = True
     remove_tracking: bool = True
     tracking: tuple[str, ...] = urls.TRACKING
@@ -90,7 +91,7 @@ def decide(requests: DataFrame, url: str, policy: Policy, order: list[str], dept
     ``order`` says in which order addresses are checked, as every check counts against the budget. The budget
     needs one running number over all requests; :func:`ranked` gives it without a single-partition window.
     """
-    normal = urls.normalize(F.col(url), policy.remove_fragment, policy.remove_tracking, policy.tracking)
+    normal = urls.normalize(F.col(url), policy.remove_fragment, policy.remove_tracking, policy.tracking) if policy.normalize else F.col(url)
     rows = ranked(requests, order, "check_no").withColumn("normalized_url", normal).withColumn("host", urls.host(F.col("normalized_url")))
     host, u = F.col("host"), F.col("normalized_url")
     denied, inside = in_domains(host, policy.denied), in_domains(host, policy.allowed)

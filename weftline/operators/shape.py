@@ -8,8 +8,8 @@ from pyspark.sql import types as T
 
 from weftline.functions.hashing import json_text
 
-_SECRET = r"(?i)password|passwd|secret|token|authorization|cookie|^sid$|^session_?id$"
-MASK = "[redacted]"
+_SECRET = r"(?i)password|secret|token|authorization|cookie|^sid$|^session_?id$"
+MASK = "***REDACTED***"
 
 
 def is_secret(name: Column) -> Column:

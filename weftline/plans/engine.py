@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import hashing, htmlquery, jsonpath, transforms, urls
 from weftline.operators import follow, incremental, quality
-from weftline.operators.policy import Policy, decide, ranked
+from weftline.operators.policy import RULES, Policy, decide, ranked
 from weftline.sources import seeds
 
 
@@ -34,15 +34,20 @@ class Result:
         return quality.field_quality(self.records, fields, required)
 
 
-def policy_of(config: dict) -> Policy:
-    """Limits of a job; without allowed domains its start hosts are the scope."""
+def policy_of(config: dict, starts: DataFrame | None = None) -> Policy:
+    """Limits of a job; none without an enabled policy. Without allowed domains the hosts of its start addresses are
+    the scope, a bounded list (see :data:`weftline.operators.policy.RULES`)."""
     p = config.get("crawl_policy") or {}
+    if not p.get("enabled"):
+        return Policy(max_requests=1 << 60, max_depth=1 << 30, cross_domain=True, normalize=False)
     robots = p.get("robots") or {}
-    allowed = tuple(p.get("allowed_domains") or ())
+    allowed, cross = tuple(p.get("allowed_domains") or ()), bool(p.get("allow_cross_domain"))
+    if not allowed and not cross and starts is not None:
+        allowed = tuple(r[0] for r in starts.select(urls.host(F.col("url")).alias("h")).where("h is not null").distinct().limit(RULES + 1).collect())
     return Policy(
-        max_requests=int(p.get("max_requests", 1 << 60)), max_depth=int(p.get("max_depth", 1 << 30)), allowed=allowed, denied=tuple(p.get("denied_domains") or ()), cross_domain=bool(p.get("allow_cross_domain")) or not allowed,
-        include=tuple(p.get("include_url_patterns") or ()), exclude=tuple(p.get("exclude_url_patterns") or ()), remove_fragment=p.get("remove_fragment", True), remove_tracking=p.get("remove_tracking_params", True),
-        tracking=tuple(p.get("tracking_params") or urls.TRACKING), robots=dict(robots.get("rules") or {}), robots_enabled=bool(robots.get("enabled")), robots_block=robots.get("mode") == "block", robots_unavailable=robots.get("unavailable_policy", "allow"),
+        max_requests=int(p.get("max_requests", 100)), max_depth=int(p.get("max_depth", 3)), allowed=allowed, denied=tuple(p.get("denied_domains") or ()), cross_domain=cross,
+        include=tuple(p.get("include_url_patterns") or ()), exclude=tuple(p.get("exclude_url_patterns") or ()), normalize=p.get("normalize_url", True), remove_fragment=p.get("remove_fragment", True), remove_tracking=p.get("remove_tracking_params", True),
+        tracking=tuple(p.get("tracking_params") or urls.TRACKING), robots=dict(robots.get("rules") or {}), robots_enabled=bool(robots.get("enabled")), robots_block=robots.get("mode") == "block", robots_unavailable=robots.get("unavailable_policy", "allow"), user_agent=p.get("user_agent") or "*",
     )
 
 
@@ -102,7 +107,7 @@ def run(spark: SparkSession, config: dict, pages: DataFrame, index: DataFrame |
     if p.get("urls"):
         more = seeds.inline(spark, p["urls"]).withColumn("pos", F.col("pos") + (1 << 40))
         starts = seeds.distinct_in_order(starts.unionByName(more), "url", "pos")
-    decisions = decide(starts.withColumn("depth", F.lit(0)), "url", policy_of(config), ["pos"], "depth")
+    decisions = decide(starts.withColumn("depth", F.lit(0)), "url", policy_of(config, starts), ["pos"], "depth")
     go = decisions.where("allowed").select(F.col("normalized_url").alias("url"), "pos")
     if p.get("type") == "next_button":
         nxt = {"next": {"selector": p["next_selector"], "attribute": p.get("next_attribute")}}
@@ -189,8 +194,10 @@ def explain(spark: SparkSession, config: dict) -> dict:
     """What a job would do: its decisions and the number of requests at most."""
     from weftline.operators.policy import estimate, summary
 
-    d = decide(seeds.start_urls(spark, config).withColumn("depth", F.lit(0)), "url", policy_of(config), ["pos"], "depth")
+    starts = seeds.start_urls(spark, config)
+    limits = policy_of(config, starts)
+    d = decide(starts.withColumn("depth", F.lit(0)), "url", limits, ["pos"], "depth")
     row = summary(d, "url").first().asDict()
     p = config.get("pagination") or {}
-    row["estimated_requests"] = estimate(row["policy_checked_urls"], int(p.get("max_pages", 1)), p.get("max_records"), bool(config.get("detail")), policy_of(config))
+    row["estimated_requests"] = estimate(row["policy_checked_urls"], int(p.get("max_pages", 1)), p.get("max_records"), bool(config.get("detail")), limits)
     return row

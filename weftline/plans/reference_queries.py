@@ -313,7 +313,7 @@ def queue_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # records as they leave ---------------------------------------------------------------------------------------
 @query("""
-SELECT c_custkey AS id, c_name AS person_name, '[redacted]' AS person_token, CAST(n_name AS VARCHAR) AS home_nation, '[' || c_nationkey || ', ' || n_regionkey || ']' AS codes FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+SELECT c_custkey AS id, c_name AS person_name, '***REDACTED***' AS person_token, CAST(n_name AS VARCHAR) AS home_nation, '[' || c_nationkey || ', ' || n_regionkey || ']' AS codes FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def export_flatten_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     nested = c.select(

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Content types by file suffix.
-SUFFIXES = {"json": "application/json", "html": "text/html", "htm": "text/html", "xml": "application/xml", "txt": "text/plain", "csv": "text/csv"}
+SUFFIXES = {"html": "text/html", "htm": "text/html", "json": "application/json", "txt": "text/plain"}
 
 
 def content_type(path: Column) -> Column:
