@@ -51,7 +51,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.payloads import read_payload
 from weftline.operators.components import components
-from weftline.shared import materialize, scratch
+from weftline.shared import discard, materialize, remove, scratch
 
 SIMILARITY = 0.8
 BANDS, ROWS = 18, 6
@@ -311,10 +311,12 @@ class Linker:
         """``a, b, share, weight``: links between classes by words; ``weight`` is the log odds of the other fields."""
         return self.spark.read.schema("a long, b long, share double, weight double").parquet(f"{self.home}/links")
 
-    def close(self) -> None:
-        """Forget the tables; their files go with the shared folder."""
+    def close(self, delete: bool = False) -> None:
+        """Forget the tables; their files stay for a later linker unless they are to be deleted."""
         for name in ("classes", "keys", "exact"):
             self.spark.sql(f"drop table if exists {self._name(name)}")
+        if delete:
+            remove(self.spark, self.home)
 
     # a batch -----------------------------------------------------------------------------------------------
     def accept(self, records: DataFrame) -> None:
@@ -434,7 +436,8 @@ class Linker:
         moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
         old = self.reps.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         fresh = joined.join(self.reps.select("node"), "node", "left_anti")
-        self.reps = materialize(old.unionByName(fresh), "reps")
+        before, self.reps = self.reps, materialize(old.unionByName(fresh), "reps")
+        discard(before)
 
     # results -----------------------------------------------------------------------------------------------
     def clusters(self) -> DataFrame:
@@ -465,7 +468,8 @@ def link_batches(records: DataFrame) -> DataFrame:
     for n in numbers:
         linker.accept_features(rows.where(F.col("batch") == n).drop("batch"))
     if not numbers:
+        linker.close(delete=True)
         return spark.createDataFrame([], "id_a string, id_b string")
     out = materialize(linker.repeats(), "repeats")
-    linker.close()
+    linker.close(delete=True)
     return out

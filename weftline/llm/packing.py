@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.shared import materialize
+from weftline.shared import discard, materialize
 
 #: Items of a partition on average, and rounds of exchange.
 ITEMS, ROUNDS = 60_000, 4
@@ -148,7 +148,8 @@ def pack(sizes: DataFrame, targets: DataFrame) -> DataFrame:
         better = [p for p in open_packs if after[p] < before[p][0]]
         if not better:
             break
-        state = materialize(state.where(~(loose & F.col("pack_id").isin(better))).unionByName(again.where(F.col("pack_id").isin(better))), "packed")
+        before_, state = state, materialize(state.where(~(loose & F.col("pack_id").isin(better))).unionByName(again.where(F.col("pack_id").isin(better))), "packed")
+        discard(before_, again)
     return state.select("pack_id", (F.col("part") * 10**7 + F.col("bin")).alias("container_id"), "doc_id", "piece_no", "start_token", F.col("size").alias("n_tokens"))
 
 
