@@ -101,3 +101,25 @@ def test_empty_and_extreme(spark):
     items = [("a", "s", 0, None, doc("t t t t", long)), ("b", "s", 1, None, doc("t t t t", long + " more")), ("c", "s", 1, "x", "{}"), ("d", "s", 2, " X ", "{}")]
     assert pairs(spark, items) == [("a", "b"), ("c", "d")]
     assert pairs(spark, [("a", "s", None, "x", "{}")]) == []
+
+
+def test_accept_keeps_history_as_tables(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    schema = "id string, spider_id string, batch_no int, unique_hash string, payload_json string"
+    frame = lambda *items: spark.createDataFrame(items, schema)
+    linker = L.Linker(spark)
+    linker.accept(frame(("a", "s", 0, "h", doc("t", text)), ("b", "s", 0, None, doc("t", text.replace("w7 ", "x "))), ("c", "s", 0, None, doc("u", "nothing like it at all"))))
+    assert sorted((r.id_a, r.id_b) for r in linker.repeats().collect()) == [("a", "b")]
+    linker.accept(frame(("d", "s", 1, "H", doc("v", "other words here")), ("e", "other", 1, "h", doc("t", text)), ("f", "s", 1, None, doc("u", "Nothing like it, at all!"))))
+    assert sorted((r.id_a, r.id_b) for r in linker.repeats().collect()) == [("a", "b"), ("a", "d"), ("c", "f")]
+    linker.accept(frame().limit(0))
+    assert len({r.cluster for r in linker.clusters().collect()}) == 3
+    assert all(r.share >= L.SIMILARITY for r in linker.links().collect())
+    linker.close(delete=True)
+
+
+def test_weights_are_learned():
+    patterns = [((4, 2, 3), 400), ((4, 2, 2), 50), ((0, 0, 1), 900), ((0, 0, 3), 100), ((1, 0, 2), 60)]
+    w = L.Weights.load(L.Weights.learn(patterns).dump())
+    score = lambda p: sum(t[v] for t, v in zip(w.tables, p))
+    assert score((4, 2, 3)) > 0 > score((0, 0, 1)) and 0.05 < w.prior < 0.6
