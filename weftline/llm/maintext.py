@@ -416,11 +416,13 @@ def repeated_lines(responses: DataFrame, share: float = HOST_SHARE, pages: int =
 
     Only hashes are shuffled, counted before the shuffle; an address fetched again counts once.
     """
-    rows = responses.where("host is not null and body is not null").select("host", F.xxhash64(F.coalesce("url", F.col("response_id").cast("string"))).alias("u"), "body")
+    page = F.xxhash64(F.coalesce("url", F.col("response_id").cast("string"))).alias("u")
+    rows = responses.where("host is not null and body is not null").select("host", page, "body")
     long = F.filter(F.split("body", "\n"), lambda x: F.length(x) >= 30)
     hashed = F.array_distinct(F.transform(long, lambda x: _line_hash(x)))
     lines = rows.select("host", "u", F.explode(hashed).alias("line_hash")).distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
-    total = rows.select("host", "u").distinct().groupBy("host").agg(F.count("*").alias("n_host"))
+    # all pages of the host; without a look at the bodies this reads two narrow columns
+    total = responses.where("host is not null").select("host", page).distinct().groupBy("host").agg(F.count("*").alias("n_host"))
     return lines.join(total, "host").where(F.col("n") >= share * F.col("n_host")).select("host", "line_hash")
 
 
