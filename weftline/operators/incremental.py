@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 
 def first_by(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """The first row of every key. Only the smallest order per key is aggregated, before the shuffle; a key that
-    holds a third of all rows sends one row a task."""
-    first = df.groupBy(*key).agg(F.min(F.struct(*order)).alias("_first"))
-    cond = [df[k].eqNullSafe(first[k]) for k in key] + [F.struct(*[df[c] for c in order]) == first["_first"]]
-    return df.join(first, cond, "left_semi")
+    """One row per key, the one that comes first in ``order``; null keys are a key too.
+
+    One pass: rows meet before the shuffle, so a key that holds a third of all rows sends one row a task.
+    """
+    row = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("_row")
+    return df.groupBy(*key).agg(row).select("_row.*")
 
 
 def mark_repeats(df: DataFrame, key: list[str], order: list[str], index: DataFrame | None = None) -> DataFrame:
