@@ -165,3 +165,25 @@ def test_streams(spark, tmp_path, rows):
 def test_windows(spark, rows):
     df = spark.createDataFrame([("2024-01-01 00:01:00", "a", 1.5), ("2024-01-01 00:04:00", "a", 2.0), ("2024-01-01 00:06:00", "b", 1.0)], "t string, k string, v double")
     assert rows(streaming.windows(df, "t", "5 minutes", ["k"], "v"), "k", "n", "total") == [("a", 2, 3.5), ("b", 1, 1.0)]
+
+
+def test_stored_pages_go_through_the_whole_job(spark, rows, tmp_path):
+    from weftline.plans import reference_queries
+
+    page = "<h1> {} </h1><a href='/{}'>x</a>"
+    stored = [
+        (9, "http://a.example/9", 200, page.format("Same", 9)), (2, "http://a.example/2?utm_source=x", 200, page.format("Same", 2)), (3, "http://a.example/3", 404, page.format("Gone", 3)), (1, "http://a.example/1", 500, page.format("Same", 1)),
+        (4, "http://a.example/4", None, None), (5, "http://b.other/5", 200, page.format("Outside", 5)), (6, "http://a.example/6", 503, "busy"), (7, "http://a.example/6", 200, page.format("Later", 6)), (8, "http://a.example/2#top", 200, page.format("Again", 8)), (10, None, 200, page.format("Nowhere", 0)),
+    ]
+    spark.createDataFrame(stored, "response_id long, url string, status_code int, body string").write.parquet(str(tmp_path / "http_responses.parquet"))
+    got = reference_queries.job_over_stored_pages(spark, str(tmp_path))
+    assert rows(got, "headline", "first_link", "source_url") == [("Later", "/6", "http://a.example/6"), ("Same", "/2", "http://a.example/2")]
+    rejects = reference_queries.job_rejects_of_stored_pages(spark, str(tmp_path))
+    assert rows(rejects) == [("http://a.example/1", "http_status"), ("http://a.example/3", "http_status"), ("http://a.example/4", "network"), ("http://b.other/5", "policy")]
+
+
+def test_addresses_that_become_equal_share_a_page(spark, rows):
+    frame = spark.createDataFrame(PAGES[:1], "url string, status_code int, body string")
+    starts = spark.createDataFrame([("http://h.example/list#a", 1), ("http://h.example/list#b", 0)], "url string, pos long")
+    config = {"id": "twice", "seed": {"type": "table"}, "item_selector": "li.item", "fields": JOB["fields"], "crawl_policy": {"enabled": True}}
+    assert rows(engine.run(spark, job.load(config), frame, starts=starts).records, "pos", "key") == [(0, "/d/1"), (0, "/d/2"), (1, "/d/1"), (1, "/d/2")]

@@ -100,9 +100,11 @@ def project(raw: DataFrame, rules: list[dict], keep: list[str], source_url: Colu
     return raw.select(*keep, *[c.alias(n) for n, c in columns.items()]), required
 
 
-def run(spark: SparkSession, config: dict, pages: DataFrame, index: DataFrame | None = None, bound: object = None) -> Result:
-    """Run a job over stored ``pages`` (``url, status_code, body``)."""
-    starts = seeds.start_urls(spark, config)
+def run(spark: SparkSession, config: dict, pages: DataFrame, index: DataFrame | None = None, bound: object = None, starts: DataFrame | None = None) -> Result:
+    """Run a job over stored ``pages`` (``url, status_code, body``, one row per address). ``starts`` (``url, pos``, see
+    :func:`weftline.sources.seeds.of_table`) stands for the start addresses of the job."""
+    if starts is None:
+        starts = seeds.start_urls(spark, config)
     p = config.get("pagination") or {}
     if p.get("urls"):
         more = seeds.inline(spark, p["urls"]).withColumn("pos", F.col("pos") + (1 << 40))
@@ -122,7 +124,9 @@ def run(spark: SparkSession, config: dict, pages: DataFrame, index: DataFrame |
     asked = go.join(pages.withColumnRenamed("url", "_u"), F.col("url") == F.col("_u"), "left").drop("_u")
     ok = asked.where("status_code between 200 and 299 and body is not null")
     failed = asked.where("status_code is null or status_code not between 200 and 299").select("url", F.when(F.col("status_code").isNull(), "network").otherwise("http_status").alias("error_type"))
-    raw = extract(ok.select("url", "body"), config).join(ok.select("url", "pos", "status_code"), "url")
+    # addresses that become equal by normalization share a page: it is read once and stands at each of their positions
+    read = pages.where("status_code between 200 and 299 and body is not null").join(go.select("url"), "url", "left_semi")
+    raw = extract(read.select("url", "body"), config).join(ok.select("url", "pos", "status_code"), "url")
     records, required = project(raw, config.get("fields") or [], ["url", "pos", "item_pos", "status_code"], F.col("url"))
     bad = F.lit(False)
     for n in required:

@@ -458,18 +458,40 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jsonpath.values(table(spark, sf_dir, "records"), ["id"], "payload_json", {"thumbs": "thumbnails[].fileUrl", "amounts": "offers[].prices[].amount", "author": "detail.author.name", "tag": "tags[0]"})
 
 
-@query()
-def job_over_stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A whole job over the stored responses: scope, extraction, defaults, transforms, repeats."""
+def _stored_job(spark: SparkSession, sf_dir: str):
+    """Run of a whole job over the stored responses: every address of the table is a seed, in order of response_id.
+
+    A page fetched again is a further attempt: the answer to an address is its earliest stored success with a body,
+    else its earliest response. Answers stand under the normal form of their address, under which the job asks.
+    """
     from weftline.plans import engine, job
+    from weftline.sources import seeds
 
-    r = table(spark, sf_dir, "http_responses").where("url is not null")
-    first = incremental.first_by(r, ["url"], ["response_id"]).select("url", "status_code", "body")
     config = job.load({
-        "id": "stored", "start_urls": ["https://seed.example/"], "fields": [{"name": "headline", "selector": "h1", "transforms": ["normalize_space"], "default": "none"}, {"name": "first_link", "type": "attribute", "selector": "a", "attribute": "href"}],
-        "dedup": {"enabled": True, "keys": ["headline"]},
+        "id": "stored", "seed": {"type": "table", "source": "http_responses"}, "fields": [{"name": "headline", "selector": "h1", "transforms": ["normalize_space"], "default": "none"}, {"name": "first_link", "type": "attribute", "selector": "a", "attribute": "href"}],
+        "dedup": {"enabled": True, "keys": ["headline"]}, "crawl_policy": {"enabled": True, "max_requests": 1 << 60, "allowed_domains": ["example"]},
     })
-    raw = engine.extract(first.select("url", "body"), config).join(first.select("url", "status_code"), "url").withColumn("pos", F.xxhash64("url"))
-    records, _ = engine.project(raw, config["fields"], ["url", "pos", "item_pos", "status_code"], F.col("url"))
-    out = engine._state(engine.Result(records, records.limit(0), records.limit(0)), config, None, None)
-    return out.records.select("headline", "first_link", "source_url", "unique_hash")
+    r = table(spark, sf_dir, "http_responses").where("url is not null")
+    failed = ~F.coalesce(governance.succeeded(F.col("status_code")) & F.col("body").isNotNull(), F.lit(False))
+    answers = r.select(urls.normalize(transforms.strip(F.col("url"))).alias("url"), "status_code", "body", "response_id", failed.alias("failed"))
+    pages = incremental.first_by(answers, ["url"], ["failed", "response_id"]).select("url", "status_code", "body")
+    return engine.run(spark, config, pages, starts=seeds.of_table(r, "url", "response_id"))
+
+
+@query()
+def job_over_stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a whole job over the stored responses: seeds, scope, status, extraction, defaults, transforms,
+    repeats. The job has no pagination and no details."""
+    return _stored_job(spark, sf_dir).records.select("headline", "first_link", "source_url", "unique_hash")
+
+
+@query("""
+WITH r AS (SELECT url, status_code FROM http_responses WHERE url IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY url ORDER BY coalesce(status_code BETWEEN 200 AND 299 AND body IS NOT NULL, false) DESC, response_id) = 1)
+SELECT url, CASE WHEN NOT regexp_matches(lower(url), '^[^:]+://([^/?#]*[.])?example(:[0-9]+)?([/?#]|$)') THEN 'policy' WHEN status_code IS NULL THEN 'network' ELSE 'http_status' END AS error_type
+FROM r WHERE error_type = 'policy' OR status_code IS NULL OR status_code NOT BETWEEN 200 AND 299""")
+def job_rejects_of_stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of the same job that gave no record because of scope, status or a rule."""
+    out = _stored_job(spark, sf_dir)
+    blocked = out.decisions.where("not allowed").select(F.col("normalized_url").alias("url"), F.lit("policy").alias("error_type"))
+    return blocked.unionByName(out.rejects)

@@ -1,4 +1,4 @@
-"""Addresses to start from: inline lists, CSV and JSON files, sitemaps."""
+"""Addresses to start from: inline lists, tables, CSV and JSON files, sitemaps."""
 
 from __future__ import annotations
 
@@ -24,6 +24,11 @@ def _clean(df: DataFrame) -> DataFrame:
     return distinct_in_order(df.select(strip(F.col("url")).alias("url"), "pos").where("url <> ''"), "url", "pos")
 
 
+def of_table(df: DataFrame, column: str, order: str) -> DataFrame:
+    """``url, pos`` of a column of a table, in the order of another column."""
+    return _clean(df.select(F.col(column).alias("url"), F.col(order).cast("bigint").alias("pos")))
+
+
 def _numbered(df: DataFrame, column: Column) -> DataFrame:
     # file and row together give the order of lines; the number only needs to be ordered, not dense
     return df.select(column.alias("url"), F.monotonically_increasing_id().alias("pos"))
