@@ -56,3 +56,36 @@ def test_unify_chains_renames(spark):
     assert {tuple(r.fields) for r in out.collect()} == {("headline",)} and out.count() == 27
     rules = {r.file_no: [s.field for s in r.steps] for r in D.migration_rules(changes).collect()}
     assert rules == {0: ["subject", "headline"], 1: ["headline"], 2: []}
+
+
+def test_unify_takes_every_step(spark):
+    title = lambda i: f"Some title {i} of an item"
+    note, remark = lambda i: f"note-{i:04}-{i * 7919 % 9973}", lambda i: "A remark that speaks about " + "things " * (i % 5 + 3)
+    files = {
+        ("s", 1): docs(12, title=title, note=note, remark=remark, ok=lambda i: i % 2 == 0, count=lambda i: str(i), tags=lambda i: ["a", f"b{i}"], at=lambda i: 1_704_067_200 + i),
+        ("s", 4): docs(12, title=title, remark=remark, ok=lambda i: ["no", "yes"][i % 2], count=lambda i: float(i), tags=lambda i: f"c|d{i}", at=lambda i: f"2024-02-01T00:00:{i:02}+00:00"),
+        ("s", 6): docs(12, title=title, note=remark, ok=lambda i: ["no", "yes"][i % 2], count=lambda i: "x" if i == 5 else i, tags=lambda i: f"c|d{i}", at=lambda i: f"2024-02-01T00:00:{i:02}+00:00", flag=lambda i: True),
+    }
+    df = table(spark, files)
+    changes = D.drift(D.observe(df, "records", "spider_id", "batch_no", "body"), detailed=True)
+    got = {r.id: r for r in D.unify(df, changes, "records", "spider_id", "batch_no", "body").collect()}
+    assert len(got) == 36 and {tuple(sorted(r.fields)) for r in got.values()} == {("at", "count", "flag", "note", "ok", "tags", "title")}
+    first, last = got["s-1-3"], got["s-6-5"]
+    assert first.fields == {"title": title(3), "note": remark(3), "ok": "no", "count": "3", "tags": "a|b3", "at": "2024-01-01T00:00:03+00:00", "flag": None}
+    assert [tuple(a) for a in first.aside] == [(4, "note", "removed", note(3))]
+    assert got["s-4-3"].fields["count"] == "3" and last.fields["count"] is None and [tuple(a) for a in last.aside] == [(6, "count", "uncast", "x")]
+    rules = {r.file_no: [(s.at, s.change_kind) for s in r.steps] for r in D.migration_rules(changes).collect()}
+    assert set(rules) == {1, 4, 6} and rules[4] == [(6, "renamed"), (6, "added")] and rules[6] == [(6, "cast")]
+
+
+def test_casts():
+    assert [D.cast(v, "boolean") for v in ("Yes", "0", 1, ["no"])] == [True, False, True, False]
+    assert [D.cast(v, "number", {"instant": "s"}) for v in (" 07", "1.50", True, "2024-01-01T00:00:00Z")] == [7, 1.5, 1, 1704067200]
+    assert [D.cast(v, "array", {"joiner": "|"}) for v in ("a|b", '["a"]', "a", 1, "[broken")] == [["a", "b"], ["a"], ["a"], [1], ["[broken"]]
+    assert [D.cast(v, "string", {"joiner": ","}) for v in (["a", "b"], ["a,b", "c"], 1.5, True)] == ["a,b", '["a,b", "c"]', "1.5", "true"]
+    for v, to in (("maybe", "boolean"), (2, "boolean"), ("x", "number"), ("2024-01-01", "number"), ([1, 2], "number")):
+        try:
+            D.cast(v, to)
+        except ValueError:
+            continue
+        raise AssertionError((v, to))

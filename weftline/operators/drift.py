@@ -9,8 +9,10 @@ Versioned fingerprints with explicit migration steps:
 2. :func:`file_fields` counts types per file and field from the fingerprints.
 3. :func:`changes` compares each file with the one before: added, removed, retyped, and renamed where the
    profile of a removed path goes on under an added path.
-4. :func:`migration_rules` chains these changes into rename, default and cast steps per file;
-   :func:`unify` routes every document through the steps of its file.
+4. :func:`migration_rules` chains these changes into cast, remove, rename and default steps per file;
+   :func:`unify` routes every document through the steps of its file. What is removed or cannot be cast is kept
+   aside. Casts take the notation of the file that brought the type: words of truth values, separators of joined
+   lists, instants as text or as seconds or milliseconds since 1970.
 
 Paths go through objects and end at a scalar or array. A file is (origin, spider_id, file_no); a file without
 a readable document is no file. Whole-row repeats count once. Types: string, number, boolean, array; in a tie
@@ -24,12 +26,13 @@ import json
 import math
 import re
 from collections.abc import Iterator
+from datetime import datetime, timezone
 from zlib import crc32
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions.payloads import read_payload
 from weftline.shared import discard, materialize
@@ -41,7 +44,12 @@ SKETCH = 48
 #: Profiles held by a task before it passes them on; only the number of partial rows depends on it.
 HELD = 40_000
 _CLASSES = str.maketrans({**{chr(c): "A" for c in range(65, 91)}, **{chr(c): "a" for c in range(97, 123)}, **{chr(c): "9" for c in range(48, 58)}})
-_SUMS = ("n", "n_true", "length", "length2", "lower", "upper", "digit", "space", "other", "x", "x2", "whole", "size", "objects")
+_SUMS = ("n", "n_true", "length", "length2", "lower", "upper", "digit", "space", "other", "x", "x2", "whole", "size", "objects", "iso", "zulu", "bar", "semicolon", "comma", "spaced", "listed")
+#: Words for true and false that casts read and write.
+WORDS = (("true", "false"), ("True", "False"), ("TRUE", "FALSE"), ("yes", "no"), ("Yes", "No"), ("on", "off"), ("1", "0"), ("y", "n"), ("t", "f"))
+_TRUTH = {w.lower(): not i for pair in WORDS for i, w in enumerate(pair)}
+#: Order of the steps of one file.
+KINDS = ("cast", "removed", "renamed", "retyped", "added")
 
 
 def leaves(document: dict) -> Iterator[tuple[str, object]]:
@@ -90,6 +98,17 @@ class _Profile:
             s[6] += d
             s[7] += b
             s[8] += n - a - u - d - b
+            if shape[:10] == "9999-99-99":
+                s[14] += 1
+                s[15] += v[-1] == "Z"
+            if "|" in v:
+                s[16] += 1
+            if ";" in v:
+                s[17] += 1
+            if "," in v:
+                s[18] += 1
+                s[19] += ", " in v
+            s[20] += v[:1] == "["
             h = crc32(v.encode("utf-8", "surrogatepass"))
         elif v is True or v is False:
             s[1] += v
@@ -182,7 +201,7 @@ def hash_of(prints: list[tuple[str, object, str]]) -> int:
 
 
 def file_fields(observed: DataFrame) -> DataFrame:
-    """``origin, spider_id, file_no, path, type, n_docs, n_file``: the fields of each file with their main type.
+    """``origin, spider_id, file_no, path, type, n_docs, n_types, n_file``: the fields of each file with their main type.
 
     Repeated rows are dropped by row hash before anything is counted.
     """
@@ -192,7 +211,7 @@ def file_fields(observed: DataFrame) -> DataFrame:
     total = prints.groupBy(*FILE).agg(F.sum("n").alias("n_file"))
     rank = F.array_position(F.array(*[F.lit(t) for t in TYPES]), F.col("type"))
     per_type = prints.select(*FILE, "n", F.explode("fields").alias("x")).groupBy(*FILE, F.col("x.path").alias("path"), F.col("x.type").alias("type")).agg(F.sum("n").alias("n"))
-    best = per_type.groupBy(*FILE, "path").agg(F.max_by("type", F.struct("n", -rank)).alias("type"), F.sum("n").alias("n_docs"))
+    best = per_type.groupBy(*FILE, "path").agg(F.max_by("type", F.struct("n", -rank)).alias("type"), F.sum("n").alias("n_docs"), F.count("*").alias("n_types"))
     return best.join(total, list(FILE))
 
 
@@ -267,8 +286,20 @@ def score(old: dict, new: dict, support: float) -> float:
     return 0.8 * (1 - apart) + 0.9 * value + 0.45 * name + 0.5 * min(1.0, support) - 0.8 * rate - (0.35 if apart > 0.45 else 0) - 0.27
 
 
-def changes(observed: DataFrame) -> DataFrame:
-    """``origin, spider_id, file_no, change_kind, field, old_field`` of every file against the one before.
+def _notation() -> Column:
+    """How the values of a profile are written, for casts into (or, for arrays, out of) that notation."""
+    words = F.coalesce(*[F.when(F.exists("top", lambda h: h.isin([crc32(w.encode()) for w in pair])), F.lit(i)) for i, pair in enumerate(WORDS)])
+    joiner = F.when(F.col("listed") * 2 > F.col("n"), "[").when(F.col("bar") > 0, "|").when(F.col("semicolon") > 0, ";").when(F.col("spaced") * 2 > F.col("comma"), ", ").when(F.col("comma") > 0, ",")
+    size = F.col("x") / F.col("n")
+    instant = F.when(F.col("type") == "number", F.when(size > 25, "ms").when(size > 18.4, "s")).when(F.col("iso") * 2 > F.col("n"), F.when(F.col("zulu") * 2 > F.col("n"), "Z").otherwise("+00:00"))
+    return F.struct(words.alias("words"), joiner.alias("joiner"), instant.alias("instant"))
+
+
+def changes(observed: DataFrame, detailed: bool = False) -> DataFrame:
+    """``origin, spider_id, file_no, change_kind, field, old_field`` of every file against the one before, ``old_no``.
+
+    ``detailed`` is what migration needs: ``to_type`` and ``notation`` of retyped fields, and rows of the kind
+    ``cast`` for the fields that hold values of more than one type within a file.
 
     ``observed`` is read several times and should be a table (see :func:`drift`).
     """
@@ -308,63 +339,177 @@ def changes(observed: DataFrame) -> DataFrame:
 
     steps_pairs = judged.groupBy(*at).agg(F.collect_list(F.struct("support", "old", "new")).alias("candidates"))
     renamed = materialize(steps_pairs.mapInArrow(match, "origin string, spider_id string, old_no long, file_no long, old_path string, new_path string"), "drift-renamed")
+    if detailed:
+        # arrays are made of text in the notation of the file before, everything else is written as in the new file
+        turned = retyped.select(*FILE, "old_no", "path", F.col("new_type").alias("to_type"), F.lit("retyped").alias("change_kind"))
+        several = fields.where("n_types > 1").select(*FILE, F.col("file_no").alias("old_no"), "path", F.col("type").alias("to_type"), F.lit("cast").alias("change_kind"))
+        target = turned.unionByName(several).withColumn("_no", F.when(F.col("to_type") == "array", F.col("old_no")).otherwise(F.col("file_no"))).withColumn("_type", F.when(F.col("to_type") == "array", "string").otherwise(F.col("to_type")))
+        written = prof.select("origin", "spider_id", F.col("file_no").alias("_no"), "path", F.col("type").alias("_type"), _notation().alias("notation"))
+        casts = materialize(target.join(written, ["origin", "spider_id", "_no", "path", "_type"], "left").select(*FILE, "old_no", "path", "to_type", "change_kind", "notation"), "drift-casts")
     discard(fields, pairs)
-    cols = lambda kind, field, old_field: [*FILE, F.lit(kind).alias("change_kind"), field.alias("field"), old_field.alias("old_field")]
+    cols = lambda kind, field, old_field: [*FILE, F.lit(kind).alias("change_kind"), field.alias("field"), old_field.alias("old_field"), "old_no"]
     new_in, old_in = renamed.select(*at, F.col("new_path").alias("path")), renamed.select(*at, F.col("old_path").alias("path"))
     none = F.lit("")
-    return (
+    out = (
         added.join(new_in, [*at, "path"], "left_anti").select(*cols("added", F.col("path"), none))
         .unionByName(removed.join(old_in, [*at, "path"], "left_anti").select(*cols("removed", F.col("path"), none)))
-        .unionByName(retyped.select(*cols("retyped", F.col("path"), none)))
         .unionByName(renamed.select(*cols("renamed", F.col("new_path"), F.col("old_path"))))
     )
+    if detailed:
+        return out.unionByName(casts.select(*FILE, "change_kind", F.col("path").alias("field"), none.alias("old_field"), "old_no", "to_type", "notation"), allowMissingColumns=True)
+    return out.unionByName(retyped.select(*cols("retyped", F.col("path"), none)))
 
 
-def drift(*observed: DataFrame) -> DataFrame:
+def drift(*observed: DataFrame, detailed: bool = False) -> DataFrame:
     """:func:`changes` of one or more observations, each document read once."""
     every = observed[0]
     for x in observed[1:]:
         every = every.unionByName(x)
     observed = materialize(every, "drift-observed")
-    out = changes(observed)
+    out = changes(observed, detailed)
     discard(observed)  # all that is left to read are the differences
     return out
 
 
-def migration_rules(found: DataFrame) -> DataFrame:
+def migration_rules(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Steps that bring a document of ``file_no`` to its spider's newest schema: ``origin, spider_id, file_no,
-    steps`` with (kind, field, old_field) in the order in which they apply, those of later files last."""
-    later = found.select("origin", "spider_id", F.col("file_no").alias("since"), F.struct(F.col("file_no").alias("at"), "change_kind", "field", "old_field").alias("step"))
+    steps`` in the order in which they apply, those of later files last. ``files`` (``origin, spider_id, file_no``)
+    are the files to route; without them those that a change stands between. Casts need ``detailed`` changes."""
+    if "to_type" not in found.columns:
+        missing = F.when(F.col("change_kind") == "retyped", F.raise_error(F.lit("casts need drift(..., detailed=True)")).cast("string"))
+        found = found.withColumns({"to_type": missing, "notation": F.lit(None).cast("struct<words:int,joiner:string,instant:string>")})
+    rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("change_kind"))
+    later = found.select("origin", "spider_id", F.struct(F.col("file_no").alias("at"), rank.alias("rank"), "change_kind", "field", "old_field", "to_type", "notation").alias("step"))
     # the steps of one spider are a handful of schema changes, not data
     chain = later.groupBy("origin", "spider_id").agg(F.array_sort(F.collect_list("step")).alias("chain"))
-    files = found.select("origin", "spider_id", F.explode(F.array(F.col("file_no") - 1, F.col("file_no"))).alias("file_no")).distinct()
-    return files.join(chain, ["origin", "spider_id"]).select("origin", "spider_id", "file_no", F.expr("filter(chain, s -> s.at > file_no)").alias("steps"))
+    if files is None:
+        files = found.select("origin", "spider_id", F.explode(F.array("old_no", "file_no")).alias("file_no")).distinct()
+    ahead = F.expr("filter(chain, s -> if(s.change_kind = 'cast', s.at = file_no, s.at > file_no))")
+    return files.join(chain, ["origin", "spider_id"]).select("origin", "spider_id", "file_no", ahead.alias("steps"))
+
+
+def cast(v: object, to: str, notation: dict | None = None) -> object:
+    """A value as ``to``, one of :data:`TYPES`, written as ``notation`` says; ValueError where that cannot be done."""
+    how = notation or {}
+    kind = type_of(v)
+    if kind == to:
+        return v
+    if to == "array":
+        if kind == "string":
+            if v.lstrip()[:1] == "[" and isinstance(found := read_payload(v), list):
+                return found
+            if (by := how.get("joiner")) and by != "[" and by in v:
+                return [x.strip() for x in v.split(by)]
+        return [v]
+    if to == "string":
+        if kind == "boolean":
+            return WORDS[how.get("words") or 0][not v]
+        if kind == "number":
+            if how.get("instant") and abs(v) >= 1e8:
+                text = datetime.fromtimestamp(v / 1000 if abs(v) >= 1e11 else v, timezone.utc).isoformat()
+                return text.replace("+00:00", how["instant"])
+            return json.dumps(v)
+        by = how.get("joiner")
+        if all(isinstance(x, str) for x in v) and by != "[" and (len(v) == 1 or by and not any(by in x for x in v)):
+            return (by or "").join(v)
+        return json.dumps(v, ensure_ascii=False)
+    if kind == "array":
+        if len(v) != 1 or v[0] is None or isinstance(v[0], dict | list):
+            raise ValueError
+        return cast(v[0], to, notation)
+    if to == "boolean":
+        word = v.strip().lower() if kind == "string" else str(int(v)) if v in (0, 1) else ""
+        if word not in _TRUTH:
+            raise ValueError
+        return _TRUTH[word]
+    if kind == "boolean":
+        return int(v)
+    text = v.strip()
+    if re.fullmatch(r"[+-]?[0-9]+", text):
+        return int(text)
+    if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", text) and math.isfinite(x := float(text)):
+        return x
+    if not how.get("instant"):
+        raise ValueError
+    at = datetime.fromisoformat(text)
+    x = (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() * (1000 if how["instant"] == "ms" else 1)
+    return int(x) if x.is_integer() else x
+
+
+def _text(v: object) -> str:
+    """Text of a value; equal numbers have equal texts."""
+    if isinstance(v, str):
+        return v
+    return json.dumps(int(v) if isinstance(v, float) and v.is_integer() and abs(v) < 1 << 53 else v, ensure_ascii=False)
+
+
+def _migrate(values: dict, steps: list) -> tuple[dict, list]:
+    """Values after the steps, and what was put aside as (file_no, field, reason, value)."""
+    aside: list[tuple] = []
+    for s in steps:
+        kind, field = s["change_kind"], s["field"]
+        if kind == "added":
+            values.setdefault(field, None)
+            continue
+        old = s["old_field"] if kind == "renamed" else field
+        v = values.pop(old, None)
+        if v is None:  # absent, or a default
+            if kind != "removed" and (kind == "renamed" or old in values):
+                values.setdefault(field, None)
+        elif kind == "removed":
+            aside.append((s["at"], field, "removed", _text(v)))
+        elif kind == "renamed":
+            if values.get(field) is not None:
+                aside.append((s["at"], field, "replaced", _text(values[field])))
+            values[field] = v
+        else:
+            try:
+                values[field] = cast(v, s["to_type"], s.get("notation"))
+            except (ValueError, OverflowError, OSError):
+                values[field] = None
+                aside.append((s["at"], field, "uncast", _text(v)))
+    return values, aside
 
 
-def _migrate(values: dict, steps: list) -> dict:
-    for s in steps:
-        if s["change_kind"] == "renamed" and s["old_field"] in values:
-            values[s["field"]] = values.pop(s["old_field"])
-    return values
+_ASIDE_SPARK = T.ArrayType(T.StructType().add("file_no", "long").add("field", "string").add("reason", "string").add("value", "string"))
+_ASIDE = pa.list_(pa.struct([("file_no", pa.int64()), ("field", pa.string()), ("reason", pa.string()), ("value", pa.string())]))
 
 
 def unify(df: DataFrame, found: DataFrame, origin: str, spider_id: str, file_no: str, document: str, keep: tuple[str, ...] = ("id",)) -> DataFrame:
-    """All documents in one table: ``keep`` columns, ``spider_id, file_no`` and ``fields map<string,string>``
-    under the newest names (renames chained); fields added later are null (absent) in earlier documents and
-    values are JSON text, so that retyped fields have one type. Unreadable documents have null ``fields``."""
-    chain = found.where(F.col("origin") == origin).select(F.col("spider_id").alias("_s"), F.struct(F.col("file_no").alias("at"), "change_kind", "field", "old_field").alias("step")).groupBy("_s").agg(F.array_sort(F.collect_list("step")).alias("chain"))
-    rows = df.select(*keep, F.col(spider_id).cast("string").alias("spider_id"), F.col(file_no).cast("bigint").alias("file_no"), F.col(document).alias("document"))
-    rows = rows.join(chain, rows["spider_id"] == F.col("_s"), "left").drop("_s").withColumn("steps", F.expr("filter(chain, s -> s.at > file_no)")).drop("chain")
+    """All documents in one table: ``keep`` columns, ``spider_id, file_no``, ``fields map<string,string>`` under the
+    newest names and ``aside``, a list of (file_no, field, reason, value) of what a step removed or could not cast.
 
-    @F.pandas_udf("map<string,string>")
-    def fields(documents: pd.Series, steps: pd.Series) -> pd.Series:
-        out = []
-        for text, chain in zip(documents, steps):
-            d = read_payload(text) if isinstance(text, str) else None
-            out.append({k: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False) for k, v in _migrate(dict(leaves(d)), [] if chain is None else list(chain)).items()} if isinstance(d, dict) else None)
-        return pd.Series(out)
+    Every document takes the steps of :func:`migration_rules` for its file; ``found`` are ``detailed`` changes where
+    fields are retyped. Fields that are added later have the default null. Values are text: strings as they are,
+    everything else as JSON. Rows that repeat are kept; unreadable documents have null ``fields``."""
+    rows = df.select(*keep, F.col(spider_id).cast("string").alias("spider_id"), F.col(file_no).cast("bigint").alias("file_no"), F.col(document).alias("document"))
+    files = rows.select(F.lit(origin).alias("origin"), "spider_id", "file_no").where("file_no is not null").distinct()
+    rules = migration_rules(found.where(F.col("origin") == origin), files).where("size(steps) > 0").select("spider_id", "file_no", F.to_json("steps").alias("steps"))
+    rows = rows.join(rules, ["spider_id", "file_no"], "left").select(*keep, "spider_id", "file_no", "document", "steps")
+    out = T.StructType([f for f in rows.schema if f.name not in ("document", "steps")]).add("fields", T.MapType(T.StringType(), T.StringType())).add("aside", _ASIDE_SPARK)
 
-    return rows.withColumn("fields", fields("document", "steps")).drop("document", "steps")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains: dict[str | None, list] = {None: []}
+        for batch in batches:
+            fields, aside = [], []
+            for text, steps in zip(batch.column("document").to_pylist(), batch.column("steps").to_pylist()):
+                d = read_payload(text)
+                if not isinstance(d, dict):
+                    fields.append(None)
+                    aside.append(None)
+                    continue
+                if steps not in chains:
+                    if len(chains) > HELD:
+                        chains = {None: []}
+                    chains[steps] = json.loads(steps)
+                values, left = _migrate(dict(leaves(d)), chains[steps])
+                fields.append([(k, None if v is None else _text(v)) for k, v in values.items()])
+                aside.append([dict(zip(("file_no", "field", "reason", "value"), x)) for x in left])
+            kept = [batch.column(n) for n in batch.schema.names if n not in ("document", "steps")]
+            made = [pa.array(fields, pa.map_(pa.string(), pa.string())), pa.array(aside, _ASIDE)]
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=out.names)
+
+    return rows.mapInArrow(run, out)
 
 
 def field_column(name: str) -> Column:

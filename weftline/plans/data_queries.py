@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators import changefeed, drift, nested
-from weftline.shared import table
+from weftline.shared import materialize, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,14 +19,27 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return videos.select(F.lit("peertube_public_videos").alias("origin"), "*").unionByName(records.select(F.lit("records").alias("origin"), "*"))
 
 
-def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _drift(spark: SparkSession, sf_dir: str, detailed: bool = False) -> DataFrame:
     return drift.drift(
         drift.observe(table(spark, sf_dir, "records"), "records", "spider_id", "batch_no", "payload_json"),
         drift.observe(table(spark, sf_dir, "spiders"), "spiders", "id", "revision", "config_json"),
+        detailed=detailed,
     )
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _drift(spark, sf_dir).select(*drift.FILE, "change_kind", "field", "old_field")
+
+
+def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records and configurations under the newest schema of their spider."""
+    found = materialize(_drift(spark, sf_dir, detailed=True), "drift-found")
+    records = drift.unify(table(spark, sf_dir, "records").withColumn("record_key", F.col("id").cast("string")), found, "records", "spider_id", "batch_no", "payload_json", ("record_key",))
+    spiders = drift.unify(table(spark, sf_dir, "spiders").withColumn("record_key", F.col("id").cast("string")), found, "spiders", "id", "revision", "config_json", ("record_key",))
+    return records.select(F.lit("records").alias("origin"), "*").unionByName(spiders.select(F.lit("spiders").alias("origin"), "*"))
+
+
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_unified": p5_unified}
 
 _INSTANT = r"""CASE WHEN regexp_full_match(trim(created_at), '\d{1,15}') THEN make_timestamp(CAST(trim(created_at) AS BIGINT) * 1000)
   WHEN regexp_full_match(trim(created_at), '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?') THEN TRY_CAST(trim(created_at) AS TIMESTAMP)
