@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Elements without content.
 _EMPTY = frozenset(("br", "img", "input", "meta", "link"))
 
 

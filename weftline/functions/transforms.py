@@ -26,6 +26,10 @@ WHOLE = frozenset(("join", "split", "first", "last", "list_index"))
 _SPACE = r"[\s\x1c-\x1f]"  # white space in Python's sense, with (?U)
 _NUMBER = r"-?\d+(?:\.\d+)?"
 
+# Unit signs of numbers with their factors.
+UNITS_ANYWHERE = (("亿", 1e8), ("万", 1e4))
+UNITS_AT_END = (("k", 1e3), ("m", 1e6), ("b", 1e9))
+
 Transform = Callable[[Column, dict], Column]
 
 
@@ -58,7 +62,11 @@ def number_parse(c: Column) -> Column:
     """First number times its unit: 亿 and 万 anywhere, k, m and b at the end of the text."""
     text = strip(F.replace(c, F.lit(","), F.lit("")))
     low = F.lower(text)
-    unit = F.when(text.contains("亿"), 1e8).when(text.contains("万"), 1e4).when(low.endswith("k"), 1e3).when(low.endswith("m"), 1e6).when(low.endswith("b"), 1e9).otherwise(1.0)
+    unit = F.lit(1.0)
+    for sign, factor in reversed(UNITS_AT_END):
+        unit = F.when(low.endswith(sign), factor).otherwise(unit)
+    for sign, factor in reversed(UNITS_ANYWHERE):
+        unit = F.when(text.contains(sign), factor).otherwise(unit)
     return number_text(text).cast("double") * unit
 
 

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftline.functions.hashing import json_text
 
-_SECRET = r"(?i)password|secret|token|authorization|cookie|^sid$|^session_?id$"
+# Parts of secret names, whole secret names, names of keys to interfaces, and what stands for a value.
+SECRET_PARTS = ("password", "secret", "token", "authorization", "cookie")
+SECRET_NAMES = ("session_id", "sessionid", "sid")
+API_KEYS = ("api_key", "apikey")
 MASK = "***REDACTED***"
 
 
+def _pattern(api: bool = False) -> str:
+    """The pattern of secret names, made from the lists above."""
+    return "(?i)" + "|".join([*SECRET_PARTS, *(f"^{n}$" for n in SECRET_NAMES), *(API_KEYS if api else ())])
+
+
 def is_secret(name: Column) -> Column:
     """Whether a key names something that must not leave."""
-    return name.rlike(_SECRET)
+    return name.rlike(_pattern())
 
 
 def _secret(name: str, api: bool) -> bool:
-    import re
-
-    return any(re.search(_SECRET + ("|api_?key" if api else ""), part) for part in re.split(r"[.\[]", name))
+    return any(re.search(_pattern(api), part) for part in re.split(r"[.\[]", name))
 
 
 def flatten(df: DataFrame, separator: str = "_", lists: str = "json", list_separator: str = ", ") -> DataFrame:
@@ -52,8 +60,7 @@ def redact(df: DataFrame, api: bool = False) -> DataFrame:
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType)):
             return F.transform(c, lambda x: walk(x, kind.elementType, ""))
         if isinstance(kind, T.MapType) and isinstance(kind.valueType, T.StringType):
-            pattern = _SECRET + ("|api_?key" if api else "")
-            return F.transform_values(c, lambda k, v: F.when(k.rlike(pattern) & v.isNotNull(), F.lit(MASK)).otherwise(v))
+            return F.transform_values(c, lambda k, v: F.when(k.rlike(_pattern(api)) & v.isNotNull(), F.lit(MASK)).otherwise(v))
         return c
 
     return df.select(*[walk(F.col(f"`{f.name}`"), f.dataType, f.name).alias(f.name) for f in df.schema.fields])

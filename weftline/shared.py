@@ -1,7 +1,8 @@
 """Where intermediate tables go, and how tables are read.
 
-Every executor must see the folder, so it is the one named by ``spark.checkpoint.dir``; only when the
-session names none (tests, local mode) a temporary one is set.
+Every executor must see the folder, so it is the one named by ``spark.checkpoint.dir``; only a session in local mode
+(tests) may leave it out and gets a temporary one. On a cluster that would be another folder on every machine, so it
+is an error.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         return found
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="weftline-")
     sc.setCheckpointDir(f"file://{folder}")
     return f"file://{folder}"
