@@ -75,3 +75,26 @@ def test_watermark_holds_what_follows_a_gap(spark, rows):
     assert C.contiguous_watermark(f.limit(0)) is None
     assert [r[1] for r in rows(C.replay(f, closed=False))] == ["1", "2", "3"]
     assert C.contiguous_watermark(spark.range(1, 1001).withColumnRenamed("id", "feed_no"), block=100) == 1000
+
+
+def test_closing_a_feed_releases_what_was_held(spark, rows):
+    t = "2024-01-01T00:00:0"
+    f = feed(spark, [(1, "a", "task", "1", "created", "s", f"{t}1"), (3, "b", "task", "1", "started", "late", f"{t}2"), (4, "a", "task", "1", "deleted", None, f"{t}5"), (None, "c", "task", "2", "created", "n", f"{t}1")])
+    assert rows(C.replay(f, closed=False)) == [("task", "1", "s")]
+    assert rows(C.replay(f)) == [("task", "1", "late"), ("task", "2", "n")]
+
+
+def test_batches_hold_gaps_and_know_events_of_earlier_batches(spark, rows, tmp_path):
+    from weftline.streaming.incremental import changefeed_batches, changefeed_state
+
+    t, home = "2024-01-01T00:00:0", f"file://{tmp_path}/feed"
+    batch, state = changefeed_batches(spark, home, 1), lambda **k: rows(changefeed_state(spark, home, **k))
+    batch(feed(spark, [(1, "e1", "task", "1", "created", "new", f"{t}1"), (3, "e3", "task", "1", "started", "held", f"{t}3")]), 0)
+    assert state() == [("task", "1", "new")] and state(closed=True) == [("task", "1", "held")]
+    batch(feed(spark, [(4, "e1", "task", "1", "created", "other", f"{t}9")]), 1)  # e1 again, saying something else
+    assert state() == [("task", "1", "new")] and state(closed=True) == [("task", "1", "held")]
+    batch(feed(spark, [(2, "e2", "task", "2", "created", "two", f"{t}2")]), 2)
+    assert state() == [("task", "1", "held"), ("task", "2", "two")]
+    batch(feed(spark, [(2, "e2", "task", "2", "created", "two", f"{t}2")]), 2)  # the batch is played again
+    batch(feed(spark, []), 3)
+    assert state() == [("task", "1", "held"), ("task", "2", "two")]

@@ -187,3 +187,56 @@ def test_addresses_that_become_equal_share_a_page(spark, rows):
     starts = spark.createDataFrame([("http://h.example/list#a", 1), ("http://h.example/list#b", 0)], "url string, pos long")
     config = {"id": "twice", "seed": {"type": "table"}, "item_selector": "li.item", "fields": JOB["fields"], "crawl_policy": {"enabled": True}}
     assert rows(engine.run(spark, job.load(config), frame, starts=starts).records, "pos", "key") == [(0, "/d/1"), (0, "/d/2"), (1, "/d/1"), (1, "/d/2")]
+
+
+API = {
+    "id": "api", "start_urls": ["https://x.test/api?offset=0&limit=2"], "items_json_path": "items", "fields": [{"name": "id", "type": "json_path", "json_path": "id", "transforms": ["int"]}],
+}
+
+
+def _api(spark, pages, pagination, **more):
+    frame = spark.createDataFrame([(u, 200, b) for u, b in pages.items()], "url string, status_code int, body string")
+    config = job.load({**API, "pagination": pagination, **more})
+    return sorted((r.pos, r.page_index, r.item_pos, r.id) for r in engine.run(spark, config, frame).records.collect())
+
+
+def test_offsets_by_page_size_parameter_and_by_what_a_page_holds(spark):
+    pages = {"https://x.test/api?offset=0&limit=2": '{"items":[{"id":1},{"id":2}]}', "https://x.test/api?limit=2&offset=2": '{"items":[{"id":3}]}', "https://x.test/api?limit=2&offset=4": '{"items":[]}', "https://x.test/api?limit=2&offset=6": '{"items":[{"id":9}]}'}
+    want = [(0, 1, 0, 1), (0, 1, 1, 2), (0, 2, 0, 3)]
+    assert _api(spark, pages, {"type": "offset", "page_size_param": "limit", "max_pages": 4}) == want
+    assert _api(spark, pages, {"type": "offset", "page_size": 2, "max_pages": 4}) == want
+    pages["https://x.test/api?limit=2&offset=3"] = '{"items":[{"id":7}]}'
+    assert _api(spark, pages, {"type": "offset", "max_pages": 4})[:3] == want[:2] + [(0, 2, 0, 3)]
+    assert _api(spark, pages, {"type": "offset", "page_size": 2, "max_pages": 1}) == want[:2]
+
+
+def test_numbered_pages_and_cursors(spark):
+    start = ["https://x.test/list?page=1"]
+    pages = {f"https://x.test/list?page={n}": f'{{"items":[{{"id":{n}}}]}}' for n in (1, 2, 3, 5)}
+    assert _api(spark, pages, {"type": "page", "page_param": "page", "max_pages": 5}, start_urls=start) == [(0, 1, 0, 1), (0, 2, 0, 2), (0, 3, 0, 3)]
+    assert _api(spark, pages, {"type": "page", "max_pages": 9, "max_records": 2}, start_urls=start) == [(0, 1, 0, 1), (0, 2, 0, 2)]
+    pages = {"https://x.test/api": '{"items":[{"id":1}],"next":"/api?cursor=abc"}', "https://x.test/api?cursor=abc": '{"items":[{"id":2}],"next":null,"after":"z"}', "https://x.test/api?cursor=z": '{"items":[],"next":"/api"}'}
+    start = ["https://x.test/api"]
+    assert _api(spark, pages, {"type": "cursor", "next_json_path": "next", "max_pages": 9}, start_urls=start) == [(0, 1, 0, 1), (0, 2, 0, 2)]
+    assert _api(spark, pages, {"type": "cursor", "cursor_json_path": "after", "next_json_path": "next", "max_pages": 9}, start_urls=start) == [(0, 1, 0, 1), (0, 2, 0, 2)]
+
+
+def test_child_records_and_lists_of_links(spark):
+    html = '<article><div class="seller"><span class="name">Acme</span><span>rating: 5</span><a href="/a">x</a></div><div class="seller"><span class="name">bolt works</span></div></article>'
+    children = [{"name": "name", "selector": ".name", "transforms": ["title"]}, {"name": "rating", "type": "regex", "pattern": r"rating:\s*(\d+)", "transforms": ["int"]}, {"name": "link", "type": "attribute", "selector": "a", "attribute": "href", "transforms": ["urljoin"], "default": "/none"}]
+    fields = [{"name": "seller", "selector": ".seller", "children": children}, {"name": "seller", "selector": ".missing", "default": "ignored", "override": False}, {"name": "all", "selector": ".seller", "many": True, "children": children}, {"name": "none", "selector": ".nobody", "many": True, "children": children}, {"name": "links", "type": "attribute", "selector": "a", "attribute": "href", "many": True, "transforms": ["urljoin", "canonical_url"]}, {"name": "texts", "selector": "span", "many": True, "transforms": ["title", "html_to_text"]}]
+    config = job.load({"id": "c", "start_urls": ["https://x.test/p"], "fields": fields})
+    r = engine.run(spark, config, spark.createDataFrame([("https://x.test/p", 200, html)], "url string, status_code int, body string")).records.first()
+    assert r.seller.asDict() == {"name": "Acme", "rating": 5, "link": "https://x.test/a"}
+    assert [x.asDict() for x in r["all"]] == [r.seller.asDict(), {"name": "Bolt Works", "rating": None, "link": "https://x.test/none"}]
+    assert r["none"] is None and r.links == ["https://x.test/a"] and r.texts == ["Acme", "Rating: 5", "Bolt Works"]
+
+
+def test_configurations_say_what_cannot_run():
+    base = {"id": "a", "start_urls": ["u"]}
+    paths = lambda **more: [p for p, _ in job.check({**base, **more})]
+    assert paths(pagination={"type": "next_button"}) == ["pagination.next_selector"]
+    assert paths(pagination={"type": "cursor"}) == ["pagination.next_json_path"]
+    assert paths(pagination={"type": "page", "urls": ["v"]}) == ["pagination.urls"]
+    assert paths(fields=[{"name": "x", "type": "children"}]) == ["fields[0].children"]
+    assert paths(fields=[{"name": "x", "type": "regex", "pattern": "a", "children": [{"name": "y", "selector": "b"}]}]) == ["fields[0].type"]

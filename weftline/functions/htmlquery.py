@@ -13,6 +13,7 @@ collapsed. Unclosed tails are read as far as the parser goes.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -155,10 +156,23 @@ def values(page: Page, rule: dict, scope: int = 0) -> list[str]:
     return [page.text(n) for n in nodes]
 
 
+def scopes(page: Page, rule: dict, scope: int = 0) -> list[int]:
+    """Nodes that a rule finds."""
+    if rule.get("xpath"):
+        return [n for n in xpath(page, rule["xpath"], scope) if isinstance(n, int)]
+    return page.select(rule.get("selector") or "", scope)
+
+
+def children(page: Page, rule: dict, scope: int = 0) -> list[dict]:
+    """Of each node that a rule finds, the values of the rules in its ``children``, to any depth."""
+    return [{n: children(page, r, s) if r.get("children") else values(page, r, s) for n, r in rule["children"].items()} for s in scopes(page, rule, scope)]
+
+
 def extract(pages: DataFrame, key: str, html: str, rules: dict[str, dict], item_selector: str | None = None) -> DataFrame:
-    """``key, item_pos, <rule> array<string>…``: one row per item (or page), every page parsed once."""
+    """``key, item_pos, <rule> array<string>…``: one row per item (or page), every page parsed once. A rule with
+    ``children`` gives JSON text of a list of objects instead."""
     kind = pages.schema[key].dataType.simpleString()
-    ddl = f"`{key}` {kind}, item_pos int, " + ", ".join(f"`{n}` array<string>" for n in rules)
+    ddl = ", ".join([f"`{key}` {kind}", "item_pos int", *(f"`{n}` {'string' if r.get('children') else 'array<string>'}" for n, r in rules.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,8 +185,8 @@ def extract(pages: DataFrame, key: str, html: str, rules: dict[str, dict], item_
                     keys.append(k)
                     pos.append(i)
                     for n, rule in rules.items():
-                        out[n].append(values(page, rule, scope))
-            lists = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(pos, pa.int32()), *[pa.array(v, lists) for v in out.values()]], [key, "item_pos", *out])
+                        out[n].append(json.dumps(children(page, rule, scope), ensure_ascii=False) if rule.get("children") else values(page, rule, scope))
+            lists = {n: pa.string() if rule.get("children") else pa.list_(pa.string()) for n, rule in rules.items()}
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(pos, pa.int32()), *[pa.array(v, lists[n]) for n, v in out.items()]], [key, "item_pos", *out])
 
     return pages.select(key, F.col(html)).mapInArrow(run, ddl)

@@ -85,10 +85,31 @@ def scalar(document: Column, path: str) -> Column:
     return F.get_json_object(document, "$" + "".join(f"['{n}']{i}" for n, i in re.findall(r"([^.\[\]]+)((?:\[\d+\])*)", clean)))
 
 
-def values(df: DataFrame, keep: list[str], document: str, paths: dict[str, str]) -> DataFrame:
-    """``keep…, <name> string…``: every path as JSON text (null if absent or unreadable), one parse a row."""
+def _listed(value: object) -> list[str]:
+    """A value as the texts of a list: texts as they are, the rest as JSON, nulls left out."""
+    items = value if isinstance(value, list) else [value]
+    return [x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) for x in items if x is not None]
+
+
+def _child_step(path: str, rules: dict) -> Step:
+    """The function of a path with child rules ``{name: path or (path, rules)}``: a list of objects of lists of texts."""
+    own = compile_path(path)
+    steps = {n: _child_step(*r) if isinstance(r, tuple) else (lambda v, f=compile_path(r): _listed(f(v))) for n, r in rules.items()}
+
+    def step(value: object) -> list | None:
+        found = own(value)
+        if found is None:
+            return None
+        return [{n: f(x) or [] for n, f in steps.items()} for x in (found if isinstance(found, list) else [found])]
+
+    return step
+
+
+def values(df: DataFrame, keep: list[str], document: str, paths: dict) -> DataFrame:
+    """``keep…, <name> string…``: every path as JSON text (null if absent or unreadable), one parse a row. A path may be
+    a pair of a path and child rules (see :func:`_child_step`)."""
     ddl = ", ".join([f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep] + [f"`{n}` string" for n in paths])
-    steps = {n: compile_path(p) for n, p in paths.items()}
+    steps = {n: _child_step(*p) if isinstance(p, tuple) else compile_path(p) for n, p in paths.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

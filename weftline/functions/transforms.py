@@ -148,6 +148,22 @@ def html_to_text(s: pd.Series) -> pd.Series:
     return s.map(lambda x: Page(x).text(0) if isinstance(x, str) else None)
 
 
+def _each(one: Callable[[str], str]) -> Callable[[Column], Column]:
+    """An Arrow UDF that maps the texts of an array; null items and null arrays stay."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def mapped(s: pd.Series) -> pd.Series:
+        return s.map(lambda xs: None if xs is None else [None if x is None else one(x) for x in xs])
+
+    return mapped
+
+
+def _text_of(fragment: str) -> str:
+    from weftline.functions.htmlquery import Page
+
+    return Page(fragment).text(0)
+
+
 def _int(c: Column, o: dict) -> Column:
     n = number_text(c)
     return n.try_cast("bigint") if o.get("strict") is False else n.cast("bigint")
@@ -190,7 +206,13 @@ _REGISTRY: dict[str, Transform] = {
     "last": lambda c, o: item(c, -1, o.get("default", "")),
     "list_index": lambda c, o: item(c, int(o.get("index", o.get("value", 0))), o.get("default", "")),
 }
-_PYTHON = frozenset(("title", "html_to_text", "urljoin", "canonical_url"))
+#: The transforms that are Arrow UDFs, as they work on arrays; lambdas of the JVM cannot call them.
+_LISTED: dict[str, Transform] = {
+    "title": lambda c, o: _each(str.title)(c),
+    "html_to_text": lambda c, o: _each(_text_of)(c),
+    "urljoin": lambda c, o: urls.join_each(F.lit(o["base_url"]) if o.get("base_url") else o["source_url"], c) if o.get("base_url") or o.get("source_url") is not None else c,
+    "canonical_url": lambda c, o: _each(urls.canonical_text)(c),
+}
 
 
 def register(name: str, transform: Transform) -> None:
@@ -198,6 +220,11 @@ def register(name: str, transform: Transform) -> None:
     _REGISTRY[name] = transform
 
 
+def outside_jvm(chain: list) -> bool:
+    """Whether a chain holds a transform that the JVM cannot call inside an array."""
+    return any((step if isinstance(step, str) else step.get("type")) in _LISTED for step in chain)
+
+
 def names() -> list[str]:
     """Known transforms."""
     return sorted(_REGISTRY)
@@ -216,8 +243,8 @@ def apply_chain(c: Column, chain: list, is_array: bool = False, source_url: Colu
                 c, is_array = transform(c, options), False
         elif name == "split":
             c, is_array = (F.flatten(F.transform(c, lambda x: transform(x, options))) if is_array else transform(c, options)), True
-        elif is_array and name in _PYTHON:
-            raise ValueError(f"{name} works on single values; take first, last or join before it")
+        elif is_array and name in _LISTED:
+            c = _LISTED[name](c, options)
         elif is_array:
             c = F.transform(c, lambda x: transform(x, options))  # noqa: B023  called at once
         else:

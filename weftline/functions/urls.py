@@ -150,14 +150,19 @@ def join(base: pd.Series, url: pd.Series) -> pd.Series:
     return pd.Series([None if u is None else urljoin(b or "", u) for b, u in zip(base, url)])
 
 
-@F.pandas_udf(T.StringType())
-def canonical(url: pd.Series) -> pd.Series:
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def join_each(base: pd.Series, found: pd.Series) -> pd.Series:
+    """:func:`join` of every reference of an array."""
+    return pd.Series([None if xs is None else [None if x is None else urljoin(b or "", x) for x in xs] for b, xs in zip(base, found)])
+
+
+def canonical_text(u: str) -> str:
     """Lower-case scheme and host, dot segments resolved, no fragment; the query stays."""
+    p = urlsplit(u.strip())
+    return urlunsplit((p.scheme.lower(), p.netloc.lower(), urljoin("/", p.path or "/"), p.query, ""))
 
-    def one(u: str | None) -> str | None:
-        if u is None:
-            return None
-        p = urlsplit(u.strip())
-        return urlunsplit((p.scheme.lower(), p.netloc.lower(), urljoin("/", p.path or "/"), p.query, ""))
 
-    return url.map(one)
+@F.pandas_udf(T.StringType())
+def canonical(url: pd.Series) -> pd.Series:
+    """:func:`canonical_text` of a column."""
+    return url.map(lambda u: None if u is None else canonical_text(u))

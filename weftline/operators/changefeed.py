@@ -5,8 +5,9 @@ Commit-ordered transactional replay:
 1. *Assemble.* All deliveries of one ``event_id`` are one transaction. The first readable delivery (by
    ``feed_no``) stands for it, so a transaction is applied once however often it arrives.
 2. *Order.* Transactions commit in the order of their instant, then ``event_id``; arrival order plays no part.
-3. *Hold.* In an open feed only the transactions up to the contiguous watermark of ``feed_no`` are exposed:
-   what came after a gap waits until the gap is filled. A closed feed has no gaps to wait for.
+3. *Hold.* Transactions up to the contiguous watermark of ``feed_no`` are committed; what came after a gap is held until
+   the gap is filled. An open feed exposes what is committed; closing the feed releases what is held, as the missing
+   numbers will not come any more.
 4. *Replay in parallel.* Targets do not conflict with each other. For one target the state follows from two
    values that combine in any order: its last insert or delete, and its last update with a status. Both are
    maxima over the commit order, so they are aggregated before the shuffle (a target that holds a third of all
@@ -60,12 +61,17 @@ def contiguous_watermark(feed: DataFrame, start: int | None = None, block: int =
     Numbers are counted in blocks, then one block (``block`` numbers at most) is looked at closely, so no
     task ever holds the whole feed.
     """
-    numbers = feed.select(F.col("feed_no").cast("bigint").alias("n")).where("n is not null").distinct()
-    if start is None:
-        start = numbers.agg(F.min("n")).first()[0]
-        if start is None:
-            return None
-    numbers = numbers.where(F.col("n") >= start)
+    numbers = feed.select(F.col("feed_no").cast("bigint").alias("n")).where("n is not null")
+    if start is not None:
+        numbers = numbers.where(F.col("n") >= start)
+    blocked = numbers.groupBy(F.floor(F.col("n") / block).alias("b")).agg(F.count_distinct("n").alias("c"), F.min("n").alias("low"), F.max("n").alias("high"))
+    low, high, found = blocked.agg(F.min("low"), F.max("high"), F.sum("c")).first()
+    if low is None or start is not None and low > start:
+        return None
+    start = low
+    if found == high - low + 1:
+        return high  # no gap anywhere
+    numbers = numbers.distinct()
     at = F.floor((F.col("n") - F.lit(start)) / block)
     blocks = numbers.groupBy(at.alias("b")).agg(F.count("*").alias("c"))
     # blocks are few: one row per `block` numbers; the first that is missing or not full ends the prefix
@@ -81,12 +87,13 @@ def contiguous_watermark(feed: DataFrame, start: int | None = None, block: int =
     return int(ends) - 1
 
 
-def fold(transactions: DataFrame) -> DataFrame:
-    """Per target the two maxima that decide its state; :func:`merge` combines such rows."""
+def fold(transactions: DataFrame, *apart: str) -> DataFrame:
+    """Per target (and per value of the columns ``apart``) the two maxima that decide its state; :func:`merge` combines
+    such rows."""
     order = ("instant", "event_id")
     structural = F.when(F.col("op") != "update", F.struct(*order, "op", "status"))
     update = F.when((F.col("op") == "update") & F.col("status").isNotNull(), F.struct(*order, "status"))
-    return transactions.groupBy(*KEY).agg(F.max(structural).alias("base"), F.max(update).alias("last"))
+    return transactions.groupBy(*KEY, *apart).agg(F.max(structural).alias("base"), F.max(update).alias("last"))
 
 
 def merge(*folds: DataFrame) -> DataFrame:
@@ -106,8 +113,13 @@ def present(folded: DataFrame) -> DataFrame:
 
 
 def replay(feed: DataFrame, closed: bool = True, start: int | None = None) -> DataFrame:
-    """Present state of a feed. ``closed=False`` exposes only what lies below the contiguous watermark."""
+    """Present state of a feed: the committed transactions and, if it is closed, those that were held at a gap.
+
+    Both are folded in one pass, each target's committed and held events apart, and then merged.
+    """
+    mark = contiguous_watermark(feed, start)
+    held = ~F.coalesce(F.col("feed_no") <= F.lit(mark).cast("bigint"), F.lit(False))
+    transactions = assemble(feed).withColumn("held", held)
     if not closed:
-        mark = contiguous_watermark(feed, start)
-        feed = feed.where(F.col("feed_no") <= F.lit(mark)) if mark is not None else feed.where(F.lit(False))
-    return present(fold(assemble(feed)))
+        return present(fold(transactions.where("not held")))
+    return present(merge(fold(transactions, "held").drop("held")))

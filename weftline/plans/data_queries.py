@@ -10,15 +10,41 @@ from weftline.shared import materialize, table
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed of the table is closed: what a gap holds is released at its end."""
     return changefeed.replay(table(spark, sf_dir, "lifecycle_events"))
 
 
+def p2_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same feed while it is open: targets after the events up to the first gap."""
+    return changefeed.replay(table(spark, sf_dir, "lifecycle_events"), closed=False)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = nested.json_elements(table(spark, sf_dir, "records"), "id", "payload_json", fields=False)
-    videos = nested.struct_elements(table(spark, sf_dir, "peertube_public_videos"), "id", fields=False)
+    """The keys of all element tables. They come from the elements with foreign keys and inlined values; those without
+    a parent, which shared inlining never makes, would not be rows."""
+    return _elements(spark, sf_dir).where("parent_path is not null").select("origin", "record_key", "path", "pos")
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Element rows of both tables, with foreign keys and inlined values."""
+    records = nested.json_elements(table(spark, sf_dir, "records"), "id", "payload_json")
+    videos = nested.struct_elements(table(spark, sf_dir, "peertube_public_videos"), "id")
     return videos.select(F.lit("peertube_public_videos").alias("origin"), "*").unionByName(records.select(F.lit("records").alias("origin"), "*"))
 
 
+def p4_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema graph of both tables: every table that shared inlining makes, its parent, columns and rows."""
+    found = _elements(spark, sf_dir)
+    parts = [nested.schema_graph(found.where(F.col("origin") == o).drop("origin")).select(F.lit(o).alias("origin"), "*") for o in ("peertube_public_videos", "records")]
+    return parts[0].unionByName(parts[1])
+
+
+def p4_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``origin, path, parent_path, n_rows, n_parents``: rows of each element table and the parents they point to."""
+    found = _elements(spark, sf_dir)
+    return found.groupBy("origin", "path", "parent_path").agg(F.count("*").alias("n_rows"), F.count_distinct("record_key", "parent_pos").alias("n_parents"))
+
+
 def _drift(spark: SparkSession, sf_dir: str, detailed: bool = False) -> DataFrame:
     return drift.drift(
         drift.observe(table(spark, sf_dir, "records"), "records", "spider_id", "batch_no", "payload_json"),
@@ -39,7 +65,7 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.lit("records").alias("origin"), "*").unionByName(spiders.select(F.lit("spiders").alias("origin"), "*"))
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p5_unified": p5_unified}
+QUERIES = {"p2_found": p2_found, "p2_open": p2_open, "p4_found": p4_found, "p4_graph": p4_graph, "p4_links": p4_links, "p5_found": p5_found, "p5_unified": p5_unified}
 
 _INSTANT = r"""CASE WHEN regexp_full_match(trim(created_at), '\d{1,15}') THEN make_timestamp(CAST(trim(created_at) AS BIGINT) * 1000)
   WHEN regexp_full_match(trim(created_at), '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?') THEN TRY_CAST(trim(created_at) AS TIMESTAMP)
@@ -60,6 +86,18 @@ later AS (SELECT b.target_type, b.target_id, arg_max(s.status, s.n) AS status FR
 SELECT b.target_type, b.target_id, coalesce(l.status, nullif(b.status, chr(0))) AS to_status
 FROM base b LEFT JOIN later l ON l.target_type = b.target_type AND l.target_id = b.target_id
 WHERE b.kind IN ('created', 'enqueued')""",
+    "p4_links": r"""
+WITH once AS (SELECT DISTINCT id, payload_json FROM records WHERE json_valid(payload_json)),
+parsed AS (SELECT id AS rid, CASE WHEN json_type(payload_json) = 'VARCHAR' THEN json_extract_string(payload_json, '$') ELSE payload_json END AS j FROM once),
+tree AS (SELECT rid, t.fullkey AS k, regexp_extract(t.fullkey, '^(.*\])[^\]]*\[\d+\]$', 1) AS up FROM parsed, json_tree(j) t WHERE json_valid(j) AND t.type = 'OBJECT' AND suffix(t.fullkey, ']')),
+named AS (SELECT rid, regexp_replace(regexp_replace(k, '\[\d+\]', '', 'g'), '^\$\.?', '') AS path, regexp_replace(regexp_replace(up, '\[\d+\]', '', 'g'), '^\$\.?', '') AS parent_path, up FROM tree),
+v AS (SELECT DISTINCT id, thumbnails, playlists FROM peertube_public_videos),
+th AS (SELECT id, unnest(thumbnails) AS e FROM v), pl AS (SELECT id, unnest(playlists) AS e, generate_subscripts(playlists, 1) AS i FROM v),
+fl AS (SELECT id, i, unnest(e.files) AS f FROM pl WHERE e IS NOT NULL)
+SELECT 'records' AS origin, path, parent_path, count(*) AS n_rows, count(DISTINCT rid || ' ' || up) AS n_parents FROM named GROUP BY ALL
+UNION ALL SELECT 'peertube_public_videos', 'thumbnails', '', count(*), count(DISTINCT id) FROM th WHERE e IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'peertube_public_videos', 'playlists', '', count(*), count(DISTINCT id) FROM pl WHERE e IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'peertube_public_videos', 'playlists.files', 'playlists', count(*), count(DISTINCT (id, i)) FROM fl WHERE f IS NOT NULL HAVING count(*) > 0""",
     "p4_found": r"""
 WITH once AS (SELECT DISTINCT id, payload_json FROM records WHERE json_valid(payload_json)),
 parsed AS (SELECT id AS rid, CASE WHEN json_type(payload_json) = 'VARCHAR' THEN json_extract_string(payload_json, '$') ELSE payload_json END AS j FROM once),
@@ -73,3 +111,7 @@ UNION ALL SELECT 'peertube_public_videos', CAST(id AS VARCHAR), 'thumbnails', CA
 UNION ALL SELECT 'peertube_public_videos', CAST(id AS VARCHAR), 'playlists', CAST(i AS VARCHAR) FROM pl WHERE e IS NOT NULL
 UNION ALL SELECT 'peertube_public_videos', CAST(id AS VARCHAR), 'playlists.files', i || '.' || k FROM fl WHERE f IS NOT NULL""",
 }
+
+_FIRST_GAP = "(SELECT min(feed_no) FROM lifecycle_events a WHERE feed_no IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lifecycle_events b WHERE b.feed_no = a.feed_no + 1))"
+# the delivery that stands for a transaction is its first readable one, whether it is committed or held
+SQL["p2_open"] = SQL["p2_found"].replace("BY feed_no) = 1),", f"BY feed_no) = 1 AND feed_no <= {_FIRST_GAP}),")

@@ -87,7 +87,7 @@ class _Check:
                 self.add(f"{at}.name", "is required")
             self.one_of(r, "type", FIELD_TYPES, at)
             kind = r.get("type", "css")
-            need = {"css": "selector", "attribute": "selector", "xpath": "xpath", "regex": "pattern", "json_path": "json_path"}.get(kind)
+            need = {"css": "selector", "attribute": "selector", "xpath": "xpath", "regex": "pattern", "json_path": "json_path", "children": "children"}.get(kind)
             if need and not r.get(need):
                 self.add(f"{at}.{need}", f"is required for {kind}")
             if kind == "attribute" and not r.get("attribute"):
@@ -100,8 +100,10 @@ class _Check:
                     self.add(f"{at}.transforms[{k}]", f"unknown transform {name}")
                 elif isinstance(t, dict) and t.get("pattern"):
                     self.pattern(t["pattern"], f"{at}.transforms[{k}].pattern")
-            if kind == "children":
-                self.fields(r.get("children") or [], f"{at}.children")
+            if r.get("children"):
+                if kind not in ("css", "xpath", "json_path", "children"):
+                    self.add(f"{at}.type", f"{kind} has no children")
+                self.fields(r["children"], f"{at}.children")
 
 
 def check(config: dict) -> list[tuple[str, str]]:
@@ -121,6 +123,12 @@ def check(config: dict) -> list[tuple[str, str]]:
     c.one_of(p, "type", PAGINATION, "pagination")
     for k in ("max_pages", "max_records", "page_size"):
         c.number(p, k, "pagination", 1)
+    if p.get("type") == "next_button" and not p.get("next_selector"):
+        c.add("pagination.next_selector", "is required for next_button")
+    if p.get("type") == "cursor" and not (p.get("next_json_path") or p.get("cursor_json_path")):
+        c.add("pagination.next_json_path", "cursor needs next_json_path or cursor_json_path")
+    if p.get("urls") and p.get("type") not in (None, "none", "url_list"):
+        c.add("pagination.urls", f"cannot be combined with {p['type']}")
     d = section("dedup")
     c.one_of(d, "missing_key_policy", MISSING_KEYS, "dedup")
     c.one_of(d, "scope", DEDUP_SCOPES, "dedup")

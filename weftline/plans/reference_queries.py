@@ -495,3 +495,150 @@ def job_rejects_of_stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _stored_job(spark, sf_dir)
     blocked = out.decisions.where("not allowed").select(F.col("normalized_url").alias("url"), F.lit("policy").alias("error_type"))
     return blocked.unionByName(out.rejects)
+
+
+# jobs over pages made of tables ------------------------------------------------------------------------------
+def _order_pages(spark: SparkSession, sf_dir: str, link: str) -> tuple[DataFrame, DataFrame]:
+    """Start addresses and answers of an interface that gives the orders of a customer four at a time.
+
+    ``link`` says how an answer's address counts: ``page``, ``offset`` or ``cursor`` (which answers name themselves).
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")  # a customer's orders, some tens
+    numbered = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderstatus", F.floor((F.row_number().over(w) - 1) / 4).alias("no"))
+    held = numbered.groupBy("o_custkey", "no").agg(F.array_sort(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_orderstatus").alias("status")))).alias("items"))
+    last = held.groupBy("o_custkey").agg(F.max("no").alias("last"))
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
+    known = customers.join(last, "o_custkey", "left").select("o_custkey", F.coalesce("last", F.lit(-1)).alias("last"))
+    # one page more than there are orders for: it is empty
+    pages = known.select("o_custkey", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("last") + 1)).alias("no")).join(held, ["o_custkey", "no"], "left")
+    base = F.concat(F.lit("https://api.example/orders?cust="), F.col("o_custkey"))
+    value = {"page": F.col("no") + 1, "offset": F.col("no") * 4, "cursor": F.concat(F.lit("c"), F.col("no"))}[link]
+    url = F.when(F.col("no") == 0, base).otherwise(F.concat(base, F.lit(f"&{link}="), value.cast("string")))
+    nxt = F.when(F.col("no") < F.col("last"), F.concat(F.lit("c"), F.col("no") + 1))
+    body = F.to_json(F.struct(F.struct(F.coalesce("items", F.array()).alias("items")).alias("data"), nxt.alias("next")))
+    return customers.select(F.concat(F.lit("https://api.example/orders?cust="), F.col("o_custkey")).alias("url"), F.col("o_custkey").alias("pos")), pages.select(url.alias("url"), F.lit(200).alias("status_code"), body.alias("body"))
+
+
+def _paged_job(spark: SparkSession, sf_dir: str, kind: str, options: dict) -> DataFrame:
+    from weftline.plans import engine, job
+
+    starts, pages = _order_pages(spark, sf_dir, kind)
+    config = job.load({
+        "id": f"orders-{kind}", "type": "api", "start_urls": ["https://api.example/"], "items_json_path": "data.items", "pagination": {"type": kind, "max_pages": 3, **options},
+        "fields": [{"name": "key", "type": "json_path", "json_path": "key", "transforms": ["int"]}, {"name": "status", "type": "json_path", "json_path": "status"}],
+    })
+    return engine.run(spark, config, pages, starts=starts).records.select(F.col("pos").alias("customer"), "page_index", "item_pos", "key", "status")
+
+
+_PAGED_SQL = """
+WITH n AS (SELECT o_custkey, o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer))
+SELECT o_custkey AS customer, CAST(i // 4 + 1 AS INTEGER) AS page_index, CAST(i % 4 AS INTEGER) AS item_pos, o_orderkey AS key, o_orderstatus AS status FROM n WHERE i < 12"""
+
+
+@query(_PAGED_SQL)
+def job_numbered_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job whose pages are numbered, up to three a start address."""
+    return _paged_job(spark, sf_dir, "page", {"page_param": "page"})
+
+
+@query(_PAGED_SQL)
+def job_offset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job whose pages begin at an offset."""
+    return _paged_job(spark, sf_dir, "offset", {"offset_param": "offset", "page_size": 4})
+
+
+@query(_PAGED_SQL)
+def job_cursor_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job whose answers name the cursor of the next one."""
+    return _paged_job(spark, sf_dir, "cursor", {"page_param": "cursor", "cursor_json_path": "next"})
+
+
+@query("""
+WITH v AS (SELECT DISTINCT id, name, playlists FROM peertube_public_videos WHERE id IS NOT NULL),
+p AS (SELECT id, name, unnest(playlists) AS e, generate_subscripts(playlists, 1) - 1 AS i FROM v)
+SELECT id, CAST(row_number() OVER (PARTITION BY id, name ORDER BY i) - 1 AS INTEGER) AS child_pos, upper(nullif(e.label, '')) AS label, len(list_filter(list_transform(coalesce(e.files, []), lambda f: f.height), lambda h: h IS NOT NULL)) AS heights
+FROM p""")
+def children_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Child records: the playlists of every video, each with its label and the heights of its files."""
+    from weftline.plans import engine
+
+    columns = ("id", "name", "playlists")
+    videos = table(spark, sf_dir, "peertube_public_videos").where("id is not null").select(*columns).distinct()
+    bodies = videos.select(F.monotonically_increasing_id().cast("string").alias("url"), F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("body"))
+    rules = [
+        {"name": "id", "type": "json_path", "json_path": "id", "transforms": ["int"]},
+        {"name": "playlists", "type": "json_path", "json_path": "playlists", "many": True, "children": [{"name": "label", "type": "json_path", "json_path": "label", "transforms": ["upper"]}, {"name": "heights", "type": "json_path", "json_path": "files[].height", "many": True}]},
+    ]
+    raw = engine.extract(bodies, {"fields": rules})
+    got, _ = engine.project(raw, rules, ["url"], F.col("url"))
+    flat = got.select("id", F.posexplode("playlists").alias("child_pos", "c"))
+    return flat.select("id", "child_pos", F.col("c.label").alias("label"), F.coalesce(F.size("c.heights"), F.lit(0)).cast("bigint").alias("heights"))
+
+
+@query("""
+SELECT p_brand AS brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS INTEGER) AS n, 'https://shop.example/part/' || p_partkey AS link,
+  array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') AS title FROM part""")
+def many_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists of links made absolute, and of texts in title case: one page of parts per brand."""
+    from weftline.plans import engine
+
+    item = F.concat(F.lit('<li><a href="../part/'), F.col("p_partkey"), F.lit('">'), F.col("p_name"), F.lit("</a></li>"))
+    pages = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct(F.col("p_partkey").alias("k"), item.alias("x")))).alias("xs"))
+    pages = pages.select(F.concat(F.lit("https://shop.example/list/"), F.col("p_brand")).alias("url"), F.concat(F.lit("<ul>"), F.array_join(F.transform("xs", lambda e: e["x"]), ""), F.lit("</ul>")).alias("body"))
+    rules = [{"name": "links", "type": "attribute", "selector": "li a", "attribute": "href", "many": True, "transforms": ["urljoin", "canonical_url"]}, {"name": "titles", "selector": "li a", "many": True, "transforms": ["title"]}]
+    got, _ = engine.project(engine.extract(pages, {"fields": rules}), rules, ["url"], F.col("url"))
+    return got.select(F.substring_index("url", "/", -1).alias("brand"), F.posexplode(F.arrays_zip("links", "titles")).alias("n", "x")).select("brand", "n", F.col("x.links").alias("link"), F.col("x.titles").alias("title"))
+
+
+# the whole vocabulary of transforms --------------------------------------------------------------------------
+_TEXT = "concat('  ', p_name, ', ', p_brand, ',, ', p_type, '\\t')"
+
+
+@query("""
+SELECT p_partkey, trim(p_name) AS stripped, lower(p_brand) AS low, upper(p_name) AS up, p_size AS whole, CAST(p_retailprice AS DOUBLE) AS number, length(p_name) AS n,
+  CASE WHEN p_size > 25 THEN 'big' ELSE 'small' END AS filled, replace(p_name, ' ', '_') AS underscored, 'https://' || p_brand || '.example/a' AS schemed, CASE WHEN suffix(p_type, 'L') THEN p_type[:-2] ELSE p_type END AS shortened FROM part""")
+def transform_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of single values."""
+    run = lambda c, *chain: transforms.apply_chain(c, list(chain))[0]
+    p = table(spark, sf_dir, "part")
+    return p.select(
+        "p_partkey", run(F.concat(F.lit(" \t"), "p_name", F.lit("\n ")), "strip").alias("stripped"), run(F.col("p_brand"), "lower").alias("low"), run(F.col("p_name"), "upper").alias("up"), run(F.concat(F.lit("size "), "p_size", F.lit(" cm")), "int").cast("int").alias("whole"),
+        run(F.concat(F.lit("USD "), F.col("p_retailprice").cast("string")), "float").alias("number"), run(F.col("p_name"), "length").cast("bigint").alias("n"), run(F.when(F.col("p_size") > 25, "big").otherwise(""), {"type": "default_if_empty", "value": "small"}).alias("filled"),
+        run(F.col("p_name"), {"type": "replace", "pattern": " ", "replacement": "_"}).alias("underscored"), run(F.concat(F.lit("//"), "p_brand", F.lit(".example/a")), "ensure_scheme").alias("schemed"), run(F.col("p_type"), {"type": "remove_suffix", "value": "L"}).alias("shortened"),
+    )
+
+
+@query("""
+SELECT p_partkey, p_name AS first, p_type AS last, p_brand AS second, p_brand AS before_last, 'none' AS beyond, p_name || '|' || p_brand || '|' || p_type AS joined, lower(p_name) || ';' || lower(p_brand) || ';' || lower(p_type) AS field_joined FROM part""")
+def transform_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transforms of lists, and the joining that a field asks for."""
+    run = lambda *chain, **more: transforms.apply_chain(F.expr(_TEXT), ["split", *chain], **more)[0]
+    at = lambda i: {"type": "list_index", "index": i, "default": "none"}
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", run("first").alias("first"), run("last").alias("last"), run(at(1)).alias("second"), run(at(-2)).alias("before_last"), run(at(9)).alias("beyond"), run({"type": "join", "value": "|"}).alias("joined"), run("lower", join_with=";").alias("field_joined")
+    )
+
+
+# targets and what may be done with them ----------------------------------------------------------------------
+@query("""
+WITH e AS (SELECT DISTINCT target_type, target_id, event_id, lower(trim(to_status)) AS status FROM lifecycle_events WHERE event_id IS NOT NULL AND target_id IS NOT NULL AND to_status IS NOT NULL)
+SELECT target_type, target_id, count(DISTINCT event_id) AS n_events, count(DISTINCT event_id) FILTER (status IN ('failed', 'cancelled')) AS ended_badly, bool_or(status IN ('failed', 'cancelled')) AS may_retry FROM e GROUP BY ALL""")
+def retry_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets with the number of events that ended badly: those a retry may start from."""
+    status = F.lower(F.trim("to_status"))
+    bad = status.isin("failed", "cancelled")
+    e = table(spark, sf_dir, "lifecycle_events").where("event_id is not null and target_id is not null and to_status is not null")
+    return e.groupBy("target_type", "target_id").agg(F.count_distinct("event_id").alias("n_events"), F.count_distinct(F.when(bad, F.col("event_id"))).alias("ended_badly"), F.bool_or(bad).alias("may_retry"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 'skipped_local' WHEN p_size % 3 = 0 THEN 'unavailable' WHEN p_size % 2 = 0 THEN 'disallowed' ELSE 'allowed' END AS robots, p_size % 5 <> 0 AND p_size % 3 <> 0 AND p_size % 2 = 0 AS blocked FROM part""")
+def robots_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Robots rules of two hosts against an address per part: local hosts are not asked, a host without rules is let through."""
+    host = F.when(F.col("p_size") % 5 == 0, "localhost").when(F.col("p_size") % 3 == 0, "unknown.example").otherwise("shop.example")
+    path = F.when(F.col("p_size") % 2 == 0, "/private/").otherwise("/open/")
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("https://"), host, path, F.col("p_partkey").cast("string")).alias("url"))
+    limits = policy.Policy(max_requests=1 << 60, cross_domain=True, robots={"shop.example": "User-agent: *\nDisallow: /private/", "other.example": "User-agent: *\nDisallow: /"}, robots_enabled=True, robots_block=True)
+    return policy.decide(asked, "url", limits, ["p_partkey"]).select("p_partkey", "robots", (~F.col("allowed")).alias("blocked"))

@@ -43,23 +43,54 @@ def dedup_batches(spark: SparkSession, home: str, key: list[str], order: list[st
 FOLDED = "target_type string, target_id string, base struct<instant:timestamp,event_id:string,op:string,status:string>, last struct<instant:timestamp,event_id:string,status:string>"
 
 
-def changefeed_batches(spark: SparkSession, home: str) -> Callable[[DataFrame, int], None]:
-    """A function for ``foreachBatch`` that folds events into a stored state; late and repeated events end where
-    they would have, as folding does not depend on order."""
+_TRANSACTIONS = "event_id string, feed_no long, instant timestamp, target_type string, target_id string, op string, status string"
+
+
+def _last(frame: DataFrame, run: int | None) -> DataFrame:
+    return frame.where(F.col("run") == F.lit(run)).drop("run")
+
+
+def changefeed_batches(spark: SparkSession, home: str, start: int | None = None) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` that replays a change feed: transactions up to the contiguous watermark of all
+    batches are folded into a stored state, later ones are held until the numbers before them have come.
+
+    An ``event_id`` that an earlier batch brought is a repeated delivery, whatever it says. ``start`` is the first
+    number of the feed; without it that is the smallest number of the first batch.
+    """
     state = State(spark, home)
 
     def batch(df: DataFrame, number: int) -> None:
-        if number in state.commits():
+        done = state.commits()
+        if number in done:
             return
-        state.stage(number, "folds", changefeed.fold(changefeed.assemble(df)))
+        last = max(done, default=None)
+        mark = state.read("marks", "value long").agg(F.max("value")).first()[0]
+        arrived = df.select(F.col("feed_no").cast("bigint").alias("feed_no"))
+        waiting = materialize(arrived.unionByName(_last(state.read("waiting", "feed_no long"), last)), "waiting")
+        begin = mark + 1 if mark is not None else start
+        reached = changefeed.contiguous_watermark(waiting, begin)
+        mark = reached if reached is not None else mark
+        fresh = changefeed.assemble(df).join(state.read("ids", "event_id string").select("event_id"), "event_id", "left_anti")
+        fresh = materialize(fresh, "fresh")
+        pending = fresh.unionByName(_last(state.read("held", _TRANSACTIONS), last))
+        committed = F.coalesce(F.col("feed_no") <= F.lit(mark).cast("bigint"), F.lit(False))
+        state.stage(number, "folds", changefeed.fold(pending.where(committed)))
+        state.stage(number, "held", pending.where(~committed))
+        state.stage(number, "ids", fresh.select("event_id"))
+        state.stage(number, "waiting", waiting.where(~committed))
+        state.stage(number, "marks", spark.range(1).select(F.lit(mark).cast("bigint").alias("value")))
         state.commit(number)
 
     return batch
 
 
-def changefeed_state(spark: SparkSession, home: str) -> DataFrame:
-    """The present targets of what :func:`changefeed_batches` stored."""
-    return changefeed.present(changefeed.merge(State(spark, home).read("folds", FOLDED).drop("run")))
+def changefeed_state(spark: SparkSession, home: str, closed: bool = False) -> DataFrame:
+    """The present targets of what :func:`changefeed_batches` committed; ``closed`` adds what is still held."""
+    state = State(spark, home)
+    folds = state.read("folds", FOLDED).drop("run")
+    if closed:
+        folds = folds.unionByName(changefeed.fold(_last(state.read("held", _TRANSACTIONS), max(state.commits(), default=None))))
+    return changefeed.present(changefeed.merge(folds))
 
 
 def windows(events: DataFrame, at: str, width: str, keys: list[str], value: str, late: str = "10 minutes", slide: str | None = None) -> DataFrame:
