@@ -57,3 +57,32 @@ def test_fit_bounds_and_empty_samples(spark):
     m = L.fit(samples, documents)
     assert L.judge(m, [TEXT["de"], TEXT["fr"]])[0] == ["de", "fr"]
     assert L.judge(L.fit(samples.limit(0)), [TEXT["de"]])[0] == [None]
+
+
+def test_long_words_count_as_a_whole():
+    idf = L.np.ones(L.BUCKETS, L.np.float32)
+    word = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(3 * L.PIECE + 17))
+    idx, val = L.word_vector(word, idf)
+    plain = L.np.array([L._bucket(g) for g in L._grams(word)])
+    expected = L.np.bincount(plain, minlength=L.BUCKETS) / L.np.sqrt(len(plain))
+    dense = L.np.zeros(L.BUCKETS)
+    dense[idx] = val
+    assert L.np.allclose(dense, expected)
+    other = L.word_vector(word[:-1] + "!", idf)  # equal but for the last character
+    assert len(other[0]) != len(idx) or not L.np.array_equal(other[0], idx)
+
+
+def test_confidence_is_calibrated_on_held_out_documents():
+    rows, labels, groups = [], [], []
+    for d in range(40):
+        for lang, text in TEXT.items():
+            words = [w for s in L.sentences(text) for w in s]
+            rows.append(words[d % 5 : d % 5 + 1 + d % 4])
+            labels.append(lang)
+            groups.append(d)
+    m = L.train(rows, labels, groups, epochs=4)
+    before, after = m.errors
+    assert after <= before + 0.02
+    assert L.Model.unpack(m.pack()).errors == m.errors
+    _, conf, _ = L.judge(m, ["Der alte Mann geht langsam zum Hafen.", "Gato mano vino."])
+    assert 0 < conf[1] < conf[0] <= 1

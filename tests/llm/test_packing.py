@@ -46,7 +46,35 @@ def test_pack(spark, monkeypatch, items):
         n = check(packed.where(f"pack_id = {pack_id}").collect(), sizes | {2000: 0}, capacity)
         assert n <= 1.03 * -(-sum(sizes.values()) // capacity) + 2
     report = {r.pack_id: r for r in P.report(packed, targets).collect()}
-    assert report[1].containers >= report[1].least and 0 <= report[1].unused < 0.05
+    assert report[1].containers >= report[1].bound and 0 <= report[1].unused < 0.05
+
+
+def test_the_bound_decides_who_exchanges(spark, monkeypatch):
+    monkeypatch.setattr(P, "ITEMS", 30)
+    targets = spark.createDataFrame([(1, "a", 100)], "pack_id int, pack_name string, capacity_tokens int")
+    frame = lambda sizes: spark.createDataFrame(list(enumerate(sizes)), "doc_id long, n_tokens long")
+    large = [60] * 200  # the sum says 120 containers, the dual feasible functions 200: certified, nothing to exchange
+    log: list[dict] = []
+    packed = P.pack(frame(large), targets, log)
+    assert log == [] and packed.select("container_id").distinct().count() == 200
+    assert P.report(packed, targets).first().certified
+    log = []
+    rng = np.random.default_rng(5)
+    mixed = [int(x) for x in rng.integers(20, 60, 300)]
+    packed = P.pack(frame(mixed), targets, log)
+    assert log and log[0]["groups"] >= 1 and log[0]["gained"] >= 1
+    check(packed.collect(), dict(enumerate(mixed)), 100)
+
+
+def test_bound_tries_every_threshold():
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        x = rng.integers(1, 101, 60)
+        values = np.unique(x)
+        slow = max(-(-int(sum(100 if v > 100 - e else v if v >= e else 0 for v in x)) // 100) for e in [1, *values[values * 2 <= 100]])
+        assert P.lower_bound(x, 100) >= slow
+        v, n = np.unique(x, return_counts=True)
+        assert P.lower_bound(v, 100, n) == P.lower_bound(x, 100)
 
 
 def test_empty_and_bad(spark):

@@ -6,13 +6,19 @@ the sum of its words' vectors over the root of their number, so a word's scores
 looked up afterwards.
 
 Training data: the labelled samples, and a bounded number of documents (:data:`SAMPLE_DOCS`, those with the
-smallest hash of their id) whose delivered label the first model confirms; they widen the vocabulary. Everything
-else covers all documents, whole texts.
+smallest hash of their id) whose delivered label the first model confirms; they widen the vocabulary. Of each document
+at most :data:`DOC_SENTENCES` sentences evenly spread over the text, of each language at most :data:`LANG_SENTENCES`
+are taken. Everything else covers all documents, whole texts.
 
 A text is cut at line breaks and sentence ends. Log lines, addresses, code, numbers and symbols are no
-sentences (:func:`sentences`). A sentence takes the language with the highest posterior under a prior that
-favours the document's main language, so that one odd sentence needs evidence to count as another language.
-Confidences are the calibrated posteriors.
+sentences (:func:`sentences`). A sentence takes the language with the highest posterior under the calibrated
+temperature and a prior for the document's main language (:data:`SWITCH`), so that one odd sentence needs evidence to
+count as another language.
+
+Confidences are posteriors under the calibrated temperature, without that prior. The temperature makes the held-out
+documents likeliest (an eighth of them, by a hash of their id, none of whose sentences were trained on). Whole sentences
+of held-out documents are told apart nearly without error, so it is fitted to them and to fragments of them, of one
+word to half a sentence; :attr:`Model.errors` has the expected calibration error before and after.
 
 Defined results: null, empty and blank texts and texts without any sentence have no language and no parts;
 without any labelled sample nothing has a language;
@@ -35,10 +41,15 @@ from pyspark.sql import functions as F
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "sv", "ru", "zh")
 #: Bound of the documents taken for training beside the labelled samples, and of the samples.
 SAMPLE_DOCS, SAMPLE_ROWS = 1500, 20_000
+#: Sentences taken of each of these documents, and of each language, for training.
+DOC_SENTENCES, LANG_SENTENCES = 40, 400
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 17
-#: Log odds that a sentence must have against the document's main language to count as another one.
-SWITCH = 5.0
+#: Prior log odds of a sentence being in the document's main language rather than another one (twenty to one), and the
+#: scale on which sentences vote for the main language: nearly all for their best one.
+SWITCH, VOTE = 3.0, 0.02
+#: Characters of a word whose n-grams are made at once, and longest word whose scores are kept.
+PIECE, KEPT = 4096, 64
 
 # Names of the languages in labels (ISO 639-1, 639-2/T and /B, English and own names).
 NAMES = {
@@ -115,21 +126,23 @@ def _bucket(gram: str) -> int:
 class Model:
     """Weights, document frequencies and temperature; small enough to travel with a task (see :meth:`pack`)."""
 
-    def __init__(self, weights: np.ndarray, bias: np.ndarray, idf: np.ndarray, temperature: float = 1.0) -> None:
+    def __init__(self, weights: np.ndarray, bias: np.ndarray, idf: np.ndarray, temperature: float = 1.0, errors: tuple[float, float] | None = None) -> None:
         self.weights, self.bias, self.idf, self.temperature = weights, bias, idf, temperature
+        #: Expected calibration error of held-out rows with temperature 1 and with the fitted one.
+        self.errors = errors
         self._known: dict[str, int] = {}
         self.table = np.zeros((4096, len(LANGS)), np.float32)
 
     def pack(self) -> bytes:
         used = np.flatnonzero(np.abs(self.weights).sum(1))
-        return json.dumps({"used": used.tolist(), "w": np.round(self.weights[used], 4).tolist(), "idf": np.round(self.idf, 3).tolist(), "b": self.bias.tolist(), "t": self.temperature}).encode()
+        return json.dumps({"used": used.tolist(), "w": np.round(self.weights[used], 4).tolist(), "idf": np.round(self.idf, 3).tolist(), "b": self.bias.tolist(), "t": self.temperature, "e": self.errors}).encode()
 
     @staticmethod
     def unpack(data: bytes) -> Model:
         x = json.loads(data)
         w = np.zeros((BUCKETS, len(LANGS)), np.float32)
         w[x["used"]] = x["w"]
-        return Model(w, np.array(x["b"], np.float32), np.array(x["idf"], np.float32), x["t"])
+        return Model(w, np.array(x["b"], np.float32), np.array(x["idf"], np.float32), x["t"], tuple(x["e"]) if x["e"] else None)
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Row numbers of words in :attr:`table`, which keeps the scores of the words met so far."""
@@ -142,7 +155,8 @@ class Model:
                 if i < 0:
                     w = words[k]
                     if (i := known.get(w, -1)) < 0:
-                        i = known[w] = len(known)
+                        i = len(known)
+                        known[w if len(w) <= KEPT else f"\x00{i}"] = i  # a very long word is not kept
                         if i >= len(self.table):
                             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
                         idx, val = word_vector(w, self.idf)
@@ -151,20 +165,28 @@ class Model:
         return np.array(out)
 
     def logits(self, found: list[list[str]]) -> np.ndarray:
-        """Calibrated logits of sentences, one row each."""
+        """Scores of sentences, one row each; over the temperature they are calibrated logits."""
         n = np.array([len(x) for x in found])
         at = self.rows([w for x in found for w in x])
         total = np.add.reduceat(self.table[at], np.concatenate([[0], np.cumsum(n)[:-1]]), axis=0)
-        return (total / np.sqrt(n)[:, None] + self.bias) / self.temperature
+        return total / np.sqrt(n)[:, None] + self.bias
 
 
 def word_vector(word: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket numbers and TF-IDF weights of length 1 of a word's n-grams, one entry per occurrence."""
-    if len(word) > 40:
-        word = word[:40]  # a run without spaces, no word of any language
-    idx = np.array([crc32(g.encode("utf-8", "surrogatepass")) for g in _grams(word)]) % BUCKETS
-    val = idf[idx]
-    return idx, val / (np.sqrt(val @ val) or 1.0)
+    """Bucket numbers and TF-IDF weights of length 1 of a word's n-grams: one entry per occurrence, or one per bucket for
+    words so long that their n-grams are made piece by piece."""
+    if len(word) <= PIECE:
+        idx = np.array([crc32(g.encode("utf-8", "surrogatepass")) for g in _grams(word)]) % BUCKETS
+        val = idf[idx]
+        return idx, val / (np.sqrt(val @ val) or 1.0)
+    w, count = f"\u2581{word}\u2581", np.zeros(BUCKETS)
+    for start in range(0, len(w), PIECE):
+        piece = w[start : start + PIECE + 4]
+        grams = [piece[i : i + n] for n in (1, 2, 3, 4, 5) for i in range(min(PIECE, len(piece) - n + 1))]
+        count += np.bincount([crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in grams if g != "\u2581"], minlength=BUCKETS)
+    idx = np.flatnonzero(count)
+    val, times = idf[idx], count[idx]
+    return idx, val * times / (np.sqrt(times @ (val * val)) or 1.0)
 
 
 def _vectors(rows: list[list[str]], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -178,8 +200,9 @@ def _vectors(rows: list[list[str]], idf: np.ndarray) -> list[tuple[np.ndarray, n
     return out
 
 
-def train(rows: list[list[str]], labels: list[str], epochs: int = 6, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
-    """FTRL-proximal training (per-coordinate rates, L1 and L2), every eighth row held out for the temperature."""
+def train(rows: list[list[str]], labels: list[str], groups: list | None = None, epochs: int = 6, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, seed: int = 7) -> Model:
+    """FTRL-proximal training (per-coordinate rates, L1 and L2). ``groups`` says which rows belong together (a document);
+    an eighth of the groups, by hash, is held out for the temperature. Without groups each row is one."""
     df = np.zeros(BUCKETS)
     for words in rows:
         df[list({_bucket(g) for w in words for g in _grams(w)})] += 1
@@ -187,7 +210,9 @@ def train(rows: list[list[str]], labels: list[str], epochs: int = 6, alpha: floa
     x, y = _vectors(rows, idf), np.array([LANGS.index(k) for k in labels])
     k = len(LANGS)
     z, n = np.zeros((BUCKETS + 1, k)), np.zeros((BUCKETS + 1, k))
-    held = np.arange(len(rows)) % 8 == 7 if len(rows) >= 80 else np.zeros(len(rows), bool)
+    held = np.array([crc32(str(g).encode()) % 8 == 7 for g in (groups if groups is not None else range(len(rows)))])
+    if held.all():
+        held[:] = False
     rng = np.random.default_rng(seed)
 
     def weights(idx: np.ndarray) -> np.ndarray:
@@ -210,58 +235,93 @@ def train(rows: list[list[str]], labels: list[str], epochs: int = 6, alpha: floa
     w = weights(np.arange(BUCKETS + 1))
     model = Model(w[:-1].astype(np.float32), w[-1].astype(np.float32), idf)
     if held.any():
-        s = np.array([x[i][1] @ w[:-1][x[i][0]] + w[-1] for i in np.flatnonzero(held)])
-        t = y[held]
+        _calibrate(model, [rows[i] for i in np.flatnonzero(held)], y[held], rng)
+    return model
 
-        def loss(temp: float) -> float:
-            a = s / temp
-            a = a - a.max(1, keepdims=True)
-            return float(-(a[np.arange(len(t)), t] - np.log(np.exp(a).sum(1))).mean())
 
-        model.temperature = float(min(np.geomspace(0.02, 5, 80), key=loss))
-    return model
+def _soft(x: np.ndarray) -> np.ndarray:
+    e = np.exp(x - x.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def calibration_error(p: np.ndarray, truth: np.ndarray, bins: int = 15) -> float:
+    """Expected calibration error: how far confidence and share of right answers lie apart, over bins of confidence."""
+    sure, right = p.max(1), p.argmax(1) == truth
+    at = np.minimum((sure * bins).astype(int), bins - 1)
+    n = np.bincount(at, minlength=bins)
+    gap = np.abs(np.bincount(at, sure, bins) - np.bincount(at, right, bins))
+    return float(gap.sum() / n.sum())
+
+
+def _calibrate(model: Model, rows: list[list[str]], truth: np.ndarray, rng: np.random.Generator) -> None:
+    """The temperature under which held-out sentences and fragments of them are likeliest."""
+    parts, kinds = list(rows), list(truth)
+    for words, t in zip(rows, truth):
+        for size in {1, 2, 3, len(words) // 2} - {0, len(words)}:
+            at = int(rng.integers(0, max(1, len(words) - size)))
+            parts.append(words[at : at + size])
+            kinds.append(t)
+    s, t = model.logits(parts).astype(float), np.array(kinds)
+    own = np.arange(len(t))
+    model.temperature = float(min(np.geomspace(0.02, 20, 140), key=lambda temp: -np.log(np.maximum(_soft(s / temp)[own, t], 1e-300)).mean()))
+    model.errors = (calibration_error(_soft(s), t), calibration_error(_soft(s / model.temperature), t))
 
 
-def _varied(rows: list[list[str]], labels: list[str]) -> tuple[list[list[str]], list[str]]:
+def _varied(rows: list[list[str]], labels: list[str], groups: list) -> tuple[list[list[str]], list[str], list]:
     """Training rows and the same without accents, as some texts are delivered."""
     extra = [[_plain(w) for w in r] for r in rows]
     keep = [i for i, (a, b) in enumerate(zip(rows, extra)) if a != b and labels[i] != "ru"]
-    return rows + [extra[i] for i in keep], labels + [labels[i] for i in keep]
+    return rows + [extra[i] for i in keep], labels + [labels[i] for i in keep], groups + [groups[i] for i in keep]
+
+
+def _document_sentences(documents: DataFrame) -> DataFrame:
+    """``doc_id, lang, words``: at most :data:`DOC_SENTENCES` sentences of each document, evenly spread over it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], []]
+            for doc, label, text in zip(*(c.to_pylist() for c in batch.columns)):
+                lang = label_language(label)
+                if lang is None or not text:
+                    continue
+                found = [s for line in text.split("\n") for s in sentences(line) if sum(map(len, s)) <= PIECE]
+                for s in found[:: -(-len(found) // DOC_SENTENCES) or 1]:
+                    for column, x in zip(out, (doc, lang, s)):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.list_(pa.string()))], ["doc_id", "lang", "words"])
+
+    return documents.select(F.col("doc_id").cast("bigint"), "lang", "text").mapInArrow(run, "doc_id long, lang string, words array<string>")
 
 
 def fit(samples: DataFrame, documents: DataFrame | None = None) -> Model:
     """The model from labelled samples (``lang, text``) and a bounded sample of labelled documents."""
-    rows, labels = [], []
-    for r in samples.where("text is not null and lang is not null").orderBy("sample_id").limit(SAMPLE_ROWS).select("lang", "text").collect():
+    rows, labels, groups = [], [], []
+    for r in samples.where("text is not null and lang is not null").orderBy("sample_id").limit(SAMPLE_ROWS).select("sample_id", "lang", "text").collect():
         if (lang := label_language(r.lang)) is not None:
-            found = [s for line in r.text.split("\n") for s in sentences(line)] or [words_of(r.text)]
-            rows += [s for s in found if s]
-            labels += [lang] * sum(1 for s in found if s)
+            found = [s for s in [s for line in r.text.split("\n") for s in sentences(line)] or [words_of(r.text)] if s]
+            rows += found
+            labels += [lang] * len(found)
+            groups += [f"s{r.sample_id}"] * len(found)
     if not rows:
         return Model(np.zeros((BUCKETS, len(LANGS)), np.float32), np.zeros(len(LANGS), np.float32), np.ones(BUCKETS, np.float32))
-    first = train(*_varied(rows, labels))
+    first = train(*_varied(rows, labels, groups))
     if documents is None:
         return first
-    # about four times as many as are taken pass the first filter, so tasks send a bounded number of texts
-    part = max(1, documents.count() // (4 * SAMPLE_DOCS))
-    labelled = documents.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    taken: list[Row] = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()
-    more: dict[str, list[list[str]]] = {k: [] for k in LANGS}
+    # ids alone are sorted; then the sentences of the chosen documents come, a bounded number of bounded length
+    labelled = documents.where("lang is not null and doc_id is not null")
+    chosen = [r[0] for r in labelled.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).collect()]
+    taken: list[Row] = _document_sentences(labelled.where(F.col("doc_id").isin(chosen))).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    more: dict[str, list[tuple[list[str], int]]] = {k: [] for k in LANGS}
     for r in taken:
-        if (lang := label_language(r.lang)) is None:
-            continue
-        for line in r.text.split("\n"):
-            for s in sentences(line):
-                a = first.logits([s])[0]
-                if LANGS[int(a.argmax())] == lang and np.exp(a - a.max()).sum() < 1.25:
-                    more[lang].append(s)
-    most = 400  # of each language
+        a = first.logits([r.words])[0] / VOTE
+        if LANGS[int(a.argmax())] == r.lang and np.exp(a - a.max()).sum() < 1.25:
+            more[r.lang].append((r.words, r.doc_id))
     for lang, found in more.items():
-        step = max(1, len(found) // most)
-        picked = found[::step][:most]
-        rows += picked
+        picked = found[:: -(-len(found) // LANG_SENTENCES) or 1]
+        rows += [s for s, _ in picked]
         labels += [lang] * len(picked)
-    return train(*_varied(rows, labels), epochs=3)
+        groups += [f"d{d}" for _, d in picked]
+    return train(*_varied(rows, labels, groups), epochs=3)
 
 
 def judge(model: Model, texts: list[str | None]) -> tuple[list[str | None], list[float], list[list[tuple[int, str, float]]]]:
@@ -282,14 +342,12 @@ def judge(model: Model, texts: list[str | None]) -> tuple[list[str | None], list
     scores, at = model.logits(found), np.array(doc)
     size = np.array([sum(map(len, s)) for s in found], float)
 
-    def soft(x: np.ndarray) -> np.ndarray:
-        e = np.exp(x - x.max(1, keepdims=True))
-        return e / e.sum(1, keepdims=True)
-
     mass = np.zeros((len(texts), k))
-    np.add.at(mass, at, soft(scores) * size[:, None])
+    np.add.at(mass, at, _soft(scores / VOTE) * size[:, None])
+    scores = scores / model.temperature
+    q = _soft(scores)
     scores[np.arange(len(at)), mass.argmax(1)[at]] += SWITCH
-    best, q = scores.argmax(1), soft(scores)
+    best = scores.argmax(1)
     share = np.bincount(at * k + best, size, len(texts) * k).reshape(-1, k)
     main = share.argmax(1)
     sure = q[np.arange(len(at)), best]

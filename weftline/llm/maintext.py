@@ -1,10 +1,10 @@
 """The main body of web pages, as line numbers of the delivered text.
 
 Composite text density: for every node of the page's tree the characters per tag are adjusted by its share of
-link text (:func:`_densities`); the densities of a node's children are summed, the node with the largest sum
-holds the main content, and its parts count where their density reaches the smallest density on the path from
-the body to that node. Two things are added because short articles stand beside long comments: a node that
-holds the page's own headline (the text of ``<title>``) is preferred, and blocks that announce themselves as
+link text (:func:`_densities`); the densities of a node's children are summed, and the node with the largest sum
+holds the main content. The body-path threshold is not applied to its parts: headlines, table rows and short
+paragraphs lie below it (README has figures). Two things are added because short articles stand beside long comments:
+a node that holds the page's own headline (the text of ``<title>``) is preferred, and blocks that announce themselves as
 notices, sharing, comments, teasers, advertisements or legal lines (:data:`PHRASES`) are left out.
 
 Text that was taken from a page before (no tags) has no tree: its lines are read in order by the same
@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 HOST_SHARE = 0.3
 #: ... and on at least this many different addresses.
 HOST_PAGES = 3
+#: Characters from which on a line is counted; shorter ones, such as rows of a table, recur by chance.
+HOST_LINE = 30
 
 # Announcements of page furniture in ten languages, lower case, by kind.
 PHRASES = {
@@ -232,13 +234,8 @@ def page_lines(body: str) -> list[int]:
     else:
         free = [i for i in range(1, n) if not outer[i] and i not in body_nodes and tree.tag[i] not in INLINE]
         main = max(free, key=lambda i: total[i], default=0)
-        if not free or total[main] < 60:  # no node with running text of its own
+        if not free or not total[main]:  # no node with children that hold text
             main = max((i for i in free if tree.tag[i] in ("main", "article", "section", "div", "td")), key=lambda i: density[i], default=0)
-    ups, x = [density[main]], tree.parent[main]
-    while x > 0 and x not in body_nodes:
-        ups.append(density[x])
-        x = tree.parent[x]
-    threshold = min(ups) if main not in body_nodes else 0.0
     inside = [False] * n
     for i in range(n):
         inside[i] = i == main or tree.parent[i] >= 0 and inside[tree.parent[i]]
@@ -280,8 +277,6 @@ def page_lines(body: str) -> list[int]:
         if related and not _ENDS.search(said[k]):
             continue
         related = False
-        if density[b] < threshold * 0.02:
-            continue
         for line, text, _ in parts:
             for j, piece in enumerate(text.split("\n")):
                 if _WORDY.search(piece):
@@ -379,8 +374,8 @@ def lines_of(body: str | None, status: int | None = None, content_type: str | No
                 return []
     if "json" in (content_type or "").lower() and start not in "<":
         return []
-    tags = len(re.findall(r"</?[a-zA-Z][^<>]*>", body))
-    return page_lines(body) if tags >= 3 or start == "<" else text_lines(body)
+    tags = re.search(r"</?[a-zA-Z][^<>]*>", body)
+    return page_lines(body) if tags or start == "<" else text_lines(body)
 
 
 def candidate_lines(responses: DataFrame) -> DataFrame:
@@ -418,7 +413,7 @@ def repeated_lines(responses: DataFrame, share: float = HOST_SHARE, pages: int =
     """
     page = F.xxhash64(F.coalesce("url", F.col("response_id").cast("string"))).alias("u")
     rows = responses.where("host is not null and body is not null").select("host", page, "body")
-    long = F.filter(F.split("body", "\n"), lambda x: F.length(x) >= 30)
+    long = F.filter(F.split("body", "\n"), lambda x: F.length(x) >= HOST_LINE)
     hashed = F.array_distinct(F.transform(long, lambda x: _line_hash(x)))
     lines = rows.select("host", "u", F.explode(hashed).alias("line_hash")).distinct().groupBy("host", "line_hash").agg(F.count("*").alias("n")).where(F.col("n") >= pages)
     # all pages of the host; without a look at the bodies this reads two narrow columns

@@ -1,12 +1,14 @@
 """Texts in containers of fixed capacity with little unused room.
 
 Bound-certified repacking: items (whole texts, or pieces of a text that is longer than a container) are dealt
-into partitions, each partition packs its own by best-fit decreasing, and dual feasible functions give a lower
-bound of its number of containers (:func:`lower_bound`). Where the bound is reached, the partition is certified.
-The badly filled containers of all partitions exchange their items: they are pooled, dealt anew and packed
-again, and the new filling is taken where it needs fewer containers. This goes on while it saves containers,
-:data:`ROUNDS` times at most. Only sizes and ids are shuffled, never texts, and a partition holds
-:data:`ITEMS` items on average however large the corpus is.
+into partitions, and each partition packs its own by best-fit decreasing. Dual feasible functions give a lower bound
+of the number of containers, of every partition and, from the counts of all sizes, of the whole corpus
+(:func:`lower_bound`). A capacity whose containers are as many as its bound is certified and left alone. Otherwise
+partitions with more containers than their own bound (all, where there is none) give the items of their badly filled
+containers away: some such partitions at a time form a group, whose items are packed again by best-fit decreasing, and
+each group for itself keeps the new filling if it takes fewer containers. This goes on until the bound is reached
+or no group gains anything. :func:`report` gives containers, bound and unused room. Only sizes and ids are shuffled,
+never texts, and a partition holds :data:`ITEMS` items on average however large the corpus is.
 
 Defined results: a text longer than the capacity is cut into pieces of exactly the capacity and a rest; null
 and empty texts are items of size 0, which take no room and lie in some container; every text is assigned once
@@ -16,33 +18,38 @@ per capacity; a capacity below 1 is an error. Ties are broken by size, id and pi
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.shared import discard, materialize
 
-#: Items of a partition on average, and rounds of exchange.
-ITEMS, ROUNDS = 60_000, 4
+#: Items of a partition on average, and partitions that exchange items with each other.
+ITEMS, GROUP = 20_000, 8
 #: Containers with more unused room than this share give their items away in an exchange.
 SLACK = 0.02
 
 
-def lower_bound(sizes: np.ndarray, capacity: int) -> int:
-    """The largest bound on the number of containers from three families of dual feasible functions."""
-    x = sizes[sizes > 0].astype(np.int64)
-    if not len(x):
+def lower_bound(sizes: np.ndarray, capacity: int, counts: np.ndarray | None = None) -> int:
+    """The largest bound on the number of containers from three families of dual feasible functions, of items or of
+    the counts of different sizes."""
+    keep = sizes > 0
+    if counts is None:
+        values, counts = np.unique(sizes[keep].astype(np.int64), return_counts=True)
+    else:
+        order = np.argsort(sizes[keep])
+        values, counts = sizes[keep].astype(np.int64)[order], counts[keep].astype(np.int64)[order]
+    if not len(values):
         return 0
-    values, counts = np.unique(x, return_counts=True)
     best = -(-int((values * counts).sum()) // capacity)
-    small = values[values * 2 <= capacity]
-    # items above capacity - e count as a whole container, those below e as nothing; any e gives a bound
-    for e in small[:: max(1, len(small) // 64)] if len(small) else [1]:
-        f = np.where(values > capacity - e, capacity, np.where(values >= e, values, 0))
-        best = max(best, -(-int((f * counts).sum()) // capacity))
+    # items above capacity - e count as a whole container, those below e as nothing; every different e is tried
+    number, room = np.concatenate([[0], np.cumsum(counts)]), np.concatenate([[0], np.cumsum(values * counts)])
+    e = np.concatenate([[1], values[values * 2 <= capacity]])
+    high, low = np.searchsorted(values, capacity - e, "right"), np.searchsorted(values, e, "left")
+    f = (number[-1] - number[high]) * capacity + np.maximum(0, room[high] - room[low])
+    best = max(best, -(-int(f.max()) // capacity))
     for k in range(1, 21):  # in units of 1 / (k * capacity)
         y = (k + 1) * values
         f = np.where(y % capacity == 0, values * k, (y // capacity) * capacity)
@@ -129,32 +136,72 @@ def _dealt(items: DataFrame, counts: dict[int, int], salt: int) -> DataFrame:
     return items.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece_no", F.lit(salt)), parts).cast("bigint") + F.lit(salt * 10**9))
 
 
-def pack(sizes: DataFrame, targets: DataFrame) -> DataFrame:
-    """``pack_id, container_id, doc_id, piece_no, start_token, n_tokens``; ``container_id`` is unique per pack."""
+def bounds(items: DataFrame) -> DataFrame:
+    """``pack_id, capacity, bound``: the least number of containers that all items need, by :func:`lower_bound` over
+    the counts of their sizes (at most ``capacity`` rows each)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        capacity = table.column("capacity")[0].as_py()
+        bound = lower_bound(table.column("size").to_numpy(), capacity, table.column("n").to_numpy())
+        return pa.table({"pack_id": pa.array([table.column("pack_id")[0].as_py()], pa.int32()), "capacity": pa.array([capacity], pa.int64()), "bound": pa.array([bound], pa.int64())})
+
+    counted = items.groupBy("pack_id", "capacity", "size").agg(F.count("*").alias("n"))
+    return counted.groupBy("pack_id").applyInArrow(run, "pack_id int, capacity long, bound long")
+
+
+def pack(sizes: DataFrame, targets: DataFrame, log: list[dict] | None = None) -> DataFrame:
+    """``pack_id, container_id, doc_id, piece_no, start_token, n_tokens``; ``container_id`` is unique per pack. ``log``
+    takes a row per round: capacities not certified, groups that exchanged, groups that gained."""
     items = materialize(pieces(sizes, targets), "pack-items")
-    count = lambda df: {r.pack_id: r.n for r in df.groupBy("pack_id").agg(F.count("*").alias("n")).collect()}  # noqa: E731  one number per capacity
-    state = materialize(_pack(_dealt(items, count(items), 0)), "packed")
-    for salt in range(1, ROUNDS + 1):
-        loose = (F.col("capacity") - F.col("fill")) > SLACK * F.col("capacity")
-        pool = state.where(loose)
-        before = {r.pack_id: (r.bins, r.n, -(-r.total // r.capacity)) for r in pool.groupBy("pack_id").agg(F.count_distinct(F.struct("part", "bin")).alias("bins"), F.count("*").alias("n"), F.sum("size").alias("total"), F.max("capacity").alias("capacity")).collect()}
-        # containers that no exchange can save: as many as the pool's tokens fill
-        open_packs = [p for p, (bins, _, least) in before.items() if bins > least]
-        if not open_packs:
+    # one number per capacity each
+    counts = {r.pack_id: r.n for r in items.groupBy("pack_id").agg(F.count("*").alias("n")).collect()}
+    least = {r.pack_id: r.bound for r in bounds(items).collect()}
+    state = materialize(_pack(_dealt(items, counts, 0)), "packed")
+    salt = 0
+    while True:
+        salt += 1
+        parts = state.groupBy("pack_id", "part").agg(F.count_distinct("bin").alias("now"), F.max(F.col("bins") > F.col("bound")).alias("gap"), F.max(_loose()).alias("gives"))
+        totals = parts.groupBy("pack_id").agg(F.sum("now").alias("n"), F.count_if(F.col("gap") & F.col("gives")).alias("gaps"), F.count_if("gives").alias("givers")).collect()
+        open_ = [r for r in totals if r.n > least[r.pack_id] and r.givers > 1]
+        if not open_:
             break
-        pool = pool.where(F.col("pack_id").isin(open_packs))
-        again = materialize(_pack(_dealt(pool.select(*items.columns), {p: before[p][1] for p in open_packs}, salt)), "packed-again")
-        after = {r.pack_id: r.bins for r in again.groupBy("pack_id").agg(F.count_distinct(F.struct("part", "bin")).alias("bins")).collect()}
-        better = [p for p in open_packs if after[p] < before[p][0]]
-        if not better:
+        # two partitions at least exchange; where only certified ones are left, what they leave unused together may hold a container
+        strict = [r.pack_id for r in open_ if r.gaps > 1]
+        chosen = F.col("gives") & F.col("pack_id").isin([r.pack_id for r in open_]) & (F.col("gap") | ~F.col("pack_id").isin(strict))
+        groups = F.lit(1)
+        for r in open_:
+            groups = F.when(F.col("pack_id") == r.pack_id, F.lit(-(-(r.gaps if r.pack_id in strict else r.givers) // GROUP))).otherwise(groups)
+        group = (F.pmod(F.xxhash64("part", F.lit(salt)), groups) + F.lit(salt * 10**9)).cast("bigint")
+        givers = parts.where(chosen).select("pack_id", "part", group.alias("to"))
+        pool = materialize(state.where(_loose()).join(givers, ["pack_id", "part"]), "pack-pool")
+        again = materialize(_pack(pool.withColumnsRenamed({"part": "from", "to": "part"}).select(*items.columns, "part")), "packed-again")
+        before = pool.groupBy("pack_id", "to").agg(F.count_distinct("part", "bin").alias("before"))
+        after = again.groupBy("pack_id", F.col("part").alias("to")).agg(F.max("bins").alias("after"))
+        tried = materialize(before.join(after, ["pack_id", "to"]), "pack-tried")
+        gained = tried.where("after < before").select("pack_id", "to")
+        n_tried, n_gained = tried.agg(F.count("*"), F.count_if(F.col("after") < F.col("before"))).first()
+        if log is not None:
+            log.append({"open": sorted(r.pack_id for r in open_), "groups": n_tried, "gained": n_gained})
+        if not n_gained:
             break
-        before_, state = state, materialize(state.where(~(loose & F.col("pack_id").isin(better))).unionByName(again.where(F.col("pack_id").isin(better))), "packed")
-        discard(before_, again)
+        moved = givers.join(gained, ["pack_id", "to"], "left_semi").select("pack_id", "part", F.lit(True).alias("_moved"))
+        kept = state.join(moved, ["pack_id", "part"], "left").where(~_loose() | F.col("_moved").isNull()).drop("_moved")
+        taken = again.join(gained.withColumnRenamed("to", "part"), ["pack_id", "part"], "left_semi")
+        old, state = state, materialize(kept.unionByName(taken.select(*kept.columns)), "packed")
+        discard(old, again, pool, tried)
     return state.select("pack_id", (F.col("part") * 10**7 + F.col("bin")).alias("container_id"), "doc_id", "piece_no", "start_token", F.col("size").alias("n_tokens"))
 
 
+def _loose() -> Column:
+    """Whether an item lies in a badly filled container."""
+    return (F.col("capacity") - F.col("fill")) > SLACK * F.col("capacity")
+
+
 def report(packed: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per capacity: containers, the bound that their tokens set, and the share of unused room."""
+    """Per capacity: containers, the least number that any filling needs, whether both are equal (which proves the
+    filling the best one), and the share of unused room."""
     used = packed.groupBy("pack_id").agg(F.count_distinct("container_id").alias("containers"), F.sum("n_tokens").alias("tokens"))
-    t = used.join(targets.select("pack_id", F.col("capacity_tokens").alias("capacity")).distinct(), "pack_id")
-    return t.select("pack_id", "capacity", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
+    t = targets.select("pack_id", F.col("capacity_tokens").cast("bigint").alias("capacity")).distinct()
+    items = packed.join(t, "pack_id").select("pack_id", "capacity", F.col("n_tokens").alias("size"))
+    out = used.join(bounds(items), "pack_id")
+    return out.select("pack_id", "capacity", "containers", "bound", (F.col("containers") == F.col("bound")).alias("certified"), (1 - F.col("tokens") / (F.col("containers") * F.col("capacity"))).alias("unused"))
