@@ -240,3 +240,12 @@ def test_configurations_say_what_cannot_run():
     assert paths(pagination={"type": "page", "urls": ["v"]}) == ["pagination.urls"]
     assert paths(fields=[{"name": "x", "type": "children"}]) == ["fields[0].children"]
     assert paths(fields=[{"name": "x", "type": "regex", "pattern": "a", "children": [{"name": "y", "selector": "b"}]}]) == ["fields[0].type"]
+
+
+def test_paging_stops_when_records_get_older(spark):
+    pages = {f"https://x.test/list?page={n}": json.dumps({"items": [{"id": n * 10 + k, "at": at} for k, at in enumerate(ats)]}) for n, ats in enumerate((["2024-01-05", "2024-01-04"], ["2024-01-03", "2024-01-01"], ["2024-01-09"]), 1)}
+    frame = spark.createDataFrame([(u, 200, b) for u, b in pages.items()], "url string, status_code int, body string")
+    fields = [{"name": "id", "type": "json_path", "json_path": "id", "transforms": ["int"]}, {"name": "at", "type": "json_path", "json_path": "at"}]
+    run = lambda **w: sorted(r.id for r in engine.run(spark, job.load({**API, "start_urls": ["https://x.test/list?page=1"], "fields": fields, "pagination": {"type": "page", "max_pages": 3}, "watermark": {"enabled": True, "field": "at", **w}}), frame, bound="2024-01-02").records.collect())
+    assert run() == [10, 11, 20, 30]
+    assert run(stop_when_older=True) == [10, 11, 20]

@@ -15,7 +15,8 @@ Versioned fingerprints with explicit migration steps:
    lists, instants as text or as seconds or milliseconds since 1970.
 
 Paths go through objects and end at a scalar or array. A file is (origin, spider_id, file_no); a file without
-a readable document is no file. Whole-row repeats count once. Types: string, number, boolean, array; in a tie
+a readable document is no file. Whole-row repeats count once where documents are counted; value profiles, which only
+compare shares and shapes, see them as often as they occur, as telling them apart would shuffle all payloads. Types: string, number, boolean, array; in a tie
 the type that comes first in that list holds. Documents that are null, empty, unreadable or no objects are
 skipped. Keys that hold dots are not told apart from nested keys. Empty tables give empty results.
 """
@@ -27,6 +28,7 @@ import math
 import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -197,7 +199,7 @@ def observe(df: DataFrame, origin: str, spider_id: str, file_no: str, document:
 def hash_of(prints: list[tuple[str, object, str]]) -> int:
     """64 bits of a fingerprint."""
     text = "\x1f".join([f"{p}\x1e{t}" for p, _, t in prints]).encode("utf-8", "surrogatepass")
-    return crc32(text) << 31 | crc32(text[::-1]) >> 1
+    return int.from_bytes(blake2b(text, digest_size=8).digest(), "big", signed=True)
 
 
 def file_fields(observed: DataFrame) -> DataFrame:

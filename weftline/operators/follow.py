@@ -25,12 +25,13 @@ def follow(records: DataFrame, key: list[str], links: Column, pages: DataFrame,
     """
     lk = records.select(*key, F.posexplode(F.array_distinct(F.filter(links, lambda u: u.isNotNull()))).alias("_pos", "_url"))
     page = pages.select(F.col(url).alias("_url"), F.struct(*fields).alias("_page"))
+    if strategy == "override":
+        last = lk.join(page, "_url").groupBy(*key).agg(F.max_by("_page", "_pos").alias("_page"))
+        out = records.join(last, key, "left")
+        hit = F.col("_page").isNotNull()
+        return out.withColumns({f: F.when(hit, F.col("_page")[f]).otherwise(F.col(f) if f in records.columns else F.lit(None)) for f in fields}).drop("_page")
     found = lk.join(page, "_url").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_pos", "_page"))).alias("_found"))
     out = records.join(found.withColumn("_pages", F.transform("_found", lambda x: x["_page"])).drop("_found"), key, "left")
-    if strategy == "override":
-        last, hit = F.element_at("_pages", -1), F.col("_pages").isNotNull()
-        merged = {f: F.when(hit, last[f]).otherwise(F.col(f) if f in records.columns else F.lit(None)) for f in fields}
-        return out.withColumns(merged).drop("_pages")
     empty = F.coalesce("_pages", F.array().cast(out.schema["_pages"].dataType))
     old = F.coalesce(F.col(namespace), F.array().cast(out.schema["_pages"].dataType)) if strategy == "keep_list" and namespace in records.columns else None
     return out.withColumn(namespace, F.concat(old, empty) if old is not None else empty).drop("_pages")

@@ -130,13 +130,14 @@ def summary(decisions: DataFrame, url: str) -> DataFrame:
 def ranked(df: DataFrame, order: list[str], name: str, start: int = 1) -> DataFrame:
     """``df`` with its global position in ``order``, computed in parallel.
 
-    A window without partition would bring all rows into one task. Instead the rows are range partitioned and
-    sorted, every partition is counted, and the counts of the partitions before are added: the only thing that
-    is looked at as a whole is one number per partition.
+    A window without partition would bring all rows into one task. Instead the rows are range partitioned and sorted
+    once, a row's place in its partition is read off its running id, and the counts of the partitions before are added:
+    the only thing that is looked at as a whole is one number per partition. Rows that are equal in ``order`` are numbered
+    as they fall, so it should be unique.
     """
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id())
-    w = Window.partitionBy("_part").orderBy("_row")
-    numbered = parts.withColumn("_in", F.row_number().over(w))
+    placed = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order).withColumn("_row", F.monotonically_increasing_id())
+    # the id holds the partition above bit 33 and the place in it, from 0, below
+    numbered = placed.withColumn("_part", F.shiftright("_row", 33)).withColumn("_in", F.col("_row").bitwiseAND((1 << 33) - 1) + 1)
     sizes = numbered.groupBy("_part").agg(F.max("_in").alias("_n"))
     before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
     return numbered.join(F.broadcast(before), "_part").withColumn(name, (F.col("_in") + F.col("_before") + F.lit(start - 1)).cast("bigint")).drop("_part", "_row", "_in", "_before")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,18 +20,29 @@ def field_quality(df: DataFrame, fields: list[str], required: list[str] = (), by
         return F.col(c).isNull() | (F.size(c) == 0) if kinds[c].startswith(("array", "map")) else F.col(c).isNull()
 
     aggs = [F.count("*").alias("total"), *[F.count_if(empty(f)).cast("bigint").alias(f"_e{i}") for i, f in enumerate(fields)]]
-    if samples:
-        rank = F.struct(*order) if order else F.struct(F.lit(0))
-        aggs += [F.slice(F.array_sort(F.collect_set(F.when(~empty(f), F.struct(rank.alias("o"), F.col(f).cast("string").alias("v"))))), 1, samples).alias(f"_s{i}") for i, f in enumerate(fields)]
     one = df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
-    row = lambda i, f: F.struct(F.lit(f).alias("field"), F.lit(f in required).alias("req"), F.col(f"_e{i}").alias("empty"), *([F.transform(f"_s{i}", lambda x: x["v"]).alias("samples")] if samples else []))
+    row = lambda i, f: F.struct(F.lit(f).alias("field"), F.lit(f in required).alias("req"), F.col(f"_e{i}").alias("empty"))
     long = one.select(*by, "total", F.explode(F.array(*[row(i, f) for i, f in enumerate(fields)])).alias("x"))
     rate = F.coalesce(F.round(F.col("x.empty") / F.nullif(F.col("total"), F.lit(0)), 4), F.lit(0.0))
     status = (
         F.when(F.col("total") == 0, "unknown").when(F.col("x.req") & (F.col("x.empty") == F.col("total")), "failed")
         .when((F.col("x.req") & (F.col("x.empty") > 0)) | (rate >= 0.5), "warning").otherwise("ok")
     )
-    return long.select(*by, F.col("x.field").alias("field"), "total", (F.col("total") - F.col("x.empty")).alias("non_empty"), F.col("x.empty").alias("empty"), rate.alias("empty_rate"), status.alias("status"), *([F.col("x.samples").alias("samples")] if samples else []))
+    out = long.select(*by, F.col("x.field").alias("field"), "total", (F.col("total") - F.col("x.empty")).alias("non_empty"), F.col("x.empty").alias("empty"), rate.alias("empty_rate"), status.alias("status"))
+    if not samples:
+        return out
+    # each task keeps its first few values of a field, so only those are shuffled
+    rank = F.struct(*order) if order else F.struct(F.lit(0))
+    values = df.select(*by, rank.alias("_o"), F.explode(F.array(*[F.struct(F.lit(f).alias("f"), F.when(~empty(f), F.col(f).cast("string")).alias("v")) for f in fields])).alias("_x")).where("_x.v is not null")
+    w = Window.partitionBy(*by, "_x.f").orderBy("_o", "_x.v")
+    first = values.withColumn("_n", F.dense_rank().over(w)).where(F.col("_n") <= samples).groupBy(*by, F.col("_x.f").alias("field"))
+    first = first.agg(F.transform(F.array_sort(F.collect_set(F.struct("_n", "_x.v"))), lambda x: x["v"]).alias("samples"))
+    named = first.withColumnsRenamed({c: f"_by_{n}" for n, c in enumerate((*by, "field"))})
+    same = F.lit(True)
+    for n, c in enumerate((*by, "field")):
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{n}"))
+    joined = out.join(named, same, "left").drop(*[f"_by_{n}" for n in range(len(by) + 1)])
+    return joined.withColumn("samples", F.coalesce("samples", F.array().cast("array<string>")))
 
 
 def overall_status(quality: DataFrame, errors: Column | None = None) -> DataFrame:
@@ -87,12 +98,12 @@ def counters_wide(metrics: DataFrame, key: list[str], name: str, value: str, nam
     return metrics.groupBy(*key).agg(*[one(n).alias(n) for n in names])
 
 
-def diagnose(raw: DataFrame, fields: list[str]) -> DataFrame:
-    """Per field of raw values (arrays): scopes, matches, scopes without match, and the first match."""
+def diagnose(raw: DataFrame, fields: list[str], order: tuple[str, ...] = ("url", "item_pos")) -> DataFrame:
+    """Per field of raw values (arrays): scopes, matches, scopes without match, and the first match in ``order``."""
     aggs = [F.count("*").alias("scopes")]
     for i, f in enumerate(fields):
         n = F.coalesce(F.size(f), F.lit(0))
-        aggs += [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"_n{i}"), F.count_if(n < 1).cast("bigint").alias(f"_m{i}"), F.first(F.get(f, F.lit(0)), ignorenulls=True).alias(f"_f{i}")]
+        aggs += [F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias(f"_n{i}"), F.count_if(n < 1).cast("bigint").alias(f"_m{i}"), F.min_by(F.get(f, F.lit(0)), F.when(F.get(f, F.lit(0)).isNotNull(), F.struct(*[c for c in order if c in raw.columns], F.get(f, F.lit(0))))).alias(f"_f{i}")]
     one = raw.agg(*aggs)
     rows = [F.struct(F.lit(f).alias("field"), F.col(f"_n{i}").alias("matches"), F.col(f"_m{i}").alias("missing"), F.col(f"_f{i}").cast("string").alias("first")) for i, f in enumerate(fields)]
     return one.select("scopes", F.explode(F.array(*rows)).alias("x")).select("x.field", "scopes", "x.matches", "x.missing", "x.first")

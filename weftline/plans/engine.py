@@ -291,7 +291,11 @@ def _state(out: Result, config: dict, index: DataFrame | None, bound: object) ->
         raw = F.col(f"`{w['field']}`")
         kinds = {"int": "bigint", "float": "double", "datetime": "timestamp"}
         value = raw.try_cast(kinds[w["type"]]) if w.get("type") in kinds else raw.cast("string")
-        records = records.where(incremental.newer(value, bound, w.get("strategy", "max")))
+        fresh = incremental.newer(value, bound, w.get("strategy", "max"))
+        if w.get("stop_when_older"):  # the first page with an older record is the last one of its start address
+            last = records.where(~F.coalesce(fresh, F.lit(True))).groupBy("pos").agg(F.min("page_index").alias("_last"))
+            records = records.join(last, "pos", "left").where("_last is null or page_index <= _last").drop("_last")
+        records = records.where(fresh)
     keys = d.get("keys") or d.get("fields") or config.get("unique_fields") or []
     if (d.get("enabled") if "enabled" in d else bool(keys)) and keys:
         policy = d.get("missing_key_policy", "error")

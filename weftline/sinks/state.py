@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -41,8 +41,10 @@ class State:
 
     def latest(self, table: str, schema: str, key: list[str]) -> DataFrame:
         """The newest row of each key."""
-        w = Window.partitionBy(*key).orderBy(F.desc("run"))
-        return self.read(table, schema).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "run")
+        rows = self.read(table, schema)
+        rest = [c for c in rows.columns if c not in (*key, "run")]
+        newest = F.max_by(F.struct(*rest), "run") if rest else F.max("run")
+        return rows.groupBy(*key).agg(newest.alias("_row")).select(*key, *[F.col(f"_row.`{c}`").alias(c) for c in rest]).select(*[c for c in rows.columns if c != "run"])
 
     def stage(self, run: int, table: str, df: DataFrame) -> None:
         """Write the rows of a run; they count once it is committed."""
