@@ -497,10 +497,12 @@ class Linker:
         probe = keys.where(F.col("step") == self.step)
         sought = self._sought(probe.drop("slot"), "key") if self.state["spread"] and self.state["steps"] else probe
         touched = keys.join(sought.select("slot", "key").distinct().hint("shuffle_hash"), ["slot", "key"], "left_semi") if self.state["steps"] else keys
-        full = touched.groupBy("key").agg(F.count("*").alias("n"), F.max("src").alias("src")).where(F.col("n") > CROWD)
+        # counted where the rows lie; a key of a source that was spread later has rows in several slots
+        levels = max((len(ways) for _, ways in self.state["spread"]), default=1)
+        full = touched.groupBy("slot", "key").agg(F.count("*").alias("n"), F.max("src").alias("src")).where(F.col("n") > CROWD // levels)
+        full = materialize(full.select("src", "key").distinct(), "crowded")
         if full.isEmpty():
             return self._compared(self._near(sought, keys))
-        full = materialize(full.select("src", "key"), "crowded")
         at = self._sought(full, "key").select("slot", "key")
         known, rest = self._crowded(materialize(keys.join(at, ["slot", "key"], "left_semi"), "crowd"))
         pairs = self._near(sought.join(full.select("key"), "key", "left_anti"), keys)
