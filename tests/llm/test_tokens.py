@@ -45,3 +45,13 @@ def test_split_characters_and_bad_ids(spark):
     assert got[2] is None and "�" in got[1]
     with pytest.raises(Exception):
         T.decode(spark.createDataFrame([(1, [10**6])], "k long, ids array<int>"), "k").collect()
+
+
+def test_long_texts_have_the_same_ids_by_words_and_as_a_whole():
+    path = f"{FOLDER}/byte_bpe_50k.json"
+    base = "The list of all products, sorted by price. " * 23_300
+    for n in (T.WHOLE - 1, T.WHOLE, T.WHOLE + 1):
+        text = base[:n]
+        ids, sizes = T.encode_texts([text, "x"], path)
+        whole = T.tokenizer(path).encode(text, add_special_tokens=False).ids
+        assert ids[: sizes[0]].tolist() == whole and sizes[1] == 1

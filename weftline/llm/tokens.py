@@ -21,6 +21,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib.util import find_spec
 from itertools import chain
 from pathlib import Path
 
@@ -84,8 +85,9 @@ def _chunks(texts: list[str | None]) -> Iterator[list[str]]:
 
 #: Characters that the two splitters are sure to class alike; a text with any other goes to the library as a whole.
 _COMMON = re.compile("[\t\n\r -~\u00a1-\u024f\u0400-\u04ff\u2010-\u2027\u3001-\u303f\u4e00-\u9faf\uff01-\uff5e]*")
-#: Words kept per worker.
-KEPT_WORDS = 400_000
+#: Words kept per worker, and characters from which on a text goes to the library as a whole (its list of words would take
+#: more memory than its ids). Ids are the same either way.
+KEPT_WORDS, WHOLE = 400_000, 1_000_000
 
 
 class _Words:
@@ -113,20 +115,18 @@ class _Words:
 
 @lru_cache(maxsize=4)
 def _words(path: str) -> _Words | None:
-    """For byte-level vocabularies with the stated split; None for others."""
+    """For byte-level vocabularies whose split is stated beside them; None for others, which go to the library as a
+    whole."""
     model = json.loads(Path(path).read_text())
     pre = model.get("pre_tokenizer") or {}
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and model.get("normalizer") is None
-    try:
-        return _Words(path) if plain else None
-    except ImportError:
-        return None
+    return _Words(path) if plain and find_spec("public_tokenizers") else None
 
 
 def encode_texts(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
     """All ids one after another, and the number of ids of each text."""
     words, common = _words(path), _COMMON.fullmatch
-    rows: list[list[int] | None] = [[] if not t else words.ids(t) if words and len(t) < 1_000_000 and common(t) else None for t in texts]
+    rows: list[list[int] | None] = [[] if not t else words.ids(t) if words and len(t) < WHOLE and common(t) else None for t in texts]
     rest = [i for i, r in enumerate(rows) if r is None]
     at = iter(rest)
     for chunk in _chunks([texts[i] for i in rest]):
