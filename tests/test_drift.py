@@ -89,3 +89,13 @@ def test_casts():
         except ValueError:
             continue
         raise AssertionError((v, to))
+
+
+def test_versions_go_on_from_stored_ones(spark, rows, tmp_path):
+    files = {("s", 0): [{"a": 1}], ("s", 1): [{"a": 2}], ("s", 2): [{"a": "x"}], ("s", 4): [{"a": "y", "b": True}], ("t", 1): [{"c": 1}]}
+    fields = lambda chosen: D.file_fields(D.observe(table(spark, {k: files[k] for k in chosen}), "records", "spider_id", "batch_no", "body"))
+    want = [("s", 0, 1), ("s", 1, 1), ("s", 2, 2), ("s", 4, 3), ("t", 1, 1)]
+    assert rows(D.versions(fields(files)), "spider_id", "file_no", "version") == want
+    D.versions(fields([("s", 0), ("s", 1), ("s", 2)])).write.parquet(str(tmp_path / "versions"))
+    later = D.versions(fields([("s", 4), ("t", 1)]), spark.read.parquet(str(tmp_path / "versions")))
+    assert rows(later, "spider_id", "file_no", "version") == want

@@ -373,6 +373,22 @@ def drift(*observed: DataFrame, detailed: bool = False) -> DataFrame:
     return out
 
 
+def versions(fields: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """``origin, spider_id, file_no, fingerprint, n_fields, version`` of the files of :func:`file_fields`.
+
+    A file starts a new version of its spider's schema where its fields or their types differ from those of the file
+    before. ``known`` are versions that an earlier run stored: their files stay as they are, and later files go on
+    from them. Files of a spider come in the order of their number.
+    """
+    kind = F.concat_ws("\x1e", "path", "type")
+    now = fields.groupBy(*FILE).agg(F.xxhash64(F.array_sort(F.collect_set(kind))).alias("fingerprint"), F.count("*").alias("n_fields"))
+    if known is not None:
+        now = now.join(known.select(*FILE), list(FILE), "left_anti").unionByName(known.select(*now.columns))
+    w = Window.partitionBy("origin", "spider_id").orderBy("file_no")
+    begins = F.when(F.lag("fingerprint").over(w) == F.col("fingerprint"), 0).otherwise(1)
+    return now.withColumn("_begins", begins).withColumn("version", F.sum("_begins").over(w)).drop("_begins")
+
+
 def migration_rules(found: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Steps that bring a document of ``file_no`` to its spider's newest schema: ``origin, spider_id, file_no,
     steps`` in the order in which they apply, those of later files last. ``files`` (``origin, spider_id, file_no``)

@@ -57,6 +57,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drift(spark, sf_dir).select(*drift.FILE, "change_kind", "field", "old_field")
 
 
+def p5_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version of the schema that each file of a spider has."""
+    every = drift.observe(table(spark, sf_dir, "records"), "records", "spider_id", "batch_no", "payload_json").unionByName(drift.observe(table(spark, sf_dir, "spiders"), "spiders", "id", "revision", "config_json"))
+    return drift.versions(drift.file_fields(every.where("print is not null")))
+
+
 def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All records and configurations under the newest schema of their spider."""
     found = materialize(_drift(spark, sf_dir, detailed=True), "drift-found")
@@ -65,7 +71,7 @@ def p5_unified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.lit("records").alias("origin"), "*").unionByName(spiders.select(F.lit("spiders").alias("origin"), "*"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_open": p2_open, "p4_found": p4_found, "p4_graph": p4_graph, "p4_links": p4_links, "p5_found": p5_found, "p5_unified": p5_unified}
+QUERIES = {"p2_found": p2_found, "p2_open": p2_open, "p4_found": p4_found, "p4_graph": p4_graph, "p4_links": p4_links, "p5_found": p5_found, "p5_unified": p5_unified, "p5_versions": p5_versions}
 
 _INSTANT = r"""CASE WHEN regexp_full_match(trim(created_at), '\d{1,15}') THEN make_timestamp(CAST(trim(created_at) AS BIGINT) * 1000)
   WHEN regexp_full_match(trim(created_at), '\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(\.\d+)?') THEN TRY_CAST(trim(created_at) AS TIMESTAMP)
