@@ -11,13 +11,14 @@ outermost element is the record (``parent_path`` and ``parent_pos`` are empty).
 
 Defined results: null elements and scalars are no rows but count as positions; empty objects are rows; arrays
 in arrays add a position but no key; null, empty or unreadable payloads have no rows; a record that occurs
-repeatedly is counted once; keys that hold dots stay as they are; an empty table gives empty tables.
+repeatedly is counted once; keys that hold dots stay as they are, and of values whose dotted paths are equal one counts;
+an empty table gives empty tables.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,20 @@ def json_elements(df: DataFrame, key: Column | str, payload: Column | str, field
     One pass in Arrow batches; a record's elements travel as one array so that repeated records can be dropped
     before the rows are multiplied.
     """
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    # a few rows each time, for payloads may be long; the record's key and elements alone are shuffled
+    rows = df.select(as_col(key).cast("string").alias("record_key"), as_col(payload).alias("payload"))
+    return _read(_read_elements(rows, fields).distinct())
+
+
+def _read(found: DataFrame) -> DataFrame:
+    """Element rows of what :func:`_read_elements` found."""
+    flat = found.select("record_key", F.explode("e").alias("e")).select("record_key", "e.*")
+    return flat.withColumn("fields", F.from_json("fields", "map<string,string>")) if "fields" in flat.columns else flat
+
+
+def _read_elements(rows: DataFrame, fields: bool) -> DataFrame:
+    """``record_key, e``: the elements of each row of (key, JSON text) as one array."""
     cols = [("path", pa.string()), ("pos", pa.string())] + ([("parent_path", pa.string()), ("parent_pos", pa.string())] if fields else [])
     ddl = "path string, pos string" + (", parent_path string, parent_pos string, fields string" if fields else "")
 
@@ -92,94 +107,154 @@ def json_elements(df: DataFrame, key: Column | str, payload: Column | str, field
             struct = pa.StructArray.from_arrays([pa.array(x, pa.string()) for x in out], names)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)], ["record_key", "e"])
 
-    as_col = lambda c: F.col(c) if isinstance(c, str) else c
-    # a few rows each time, for payloads may be long; the record's key and elements alone are shuffled
-    rows = df.select(as_col(key).cast("string").alias("record_key"), as_col(payload).alias("payload"))
-    found = rows.mapInArrow(run, f"record_key string, e array<struct<{ddl.replace(' string', ':string')}>>").distinct()
-    flat = found.select("record_key", F.explode("e").alias("e")).select("record_key", "e.*")
-    return flat.withColumn("fields", F.from_json("fields", "map<string,string>")) if fields else flat
+    return rows.mapInArrow(run, f"record_key string, e array<struct<{ddl.replace(' string', ':string')}>>")
 
 
-def _arrays(schema: T.StructType, prefix: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], T.DataType]]:
-    for f in schema.fields:
-        if isinstance(f.dataType, T.StructType):
-            yield from _arrays(f.dataType, (*prefix, f.name))
-        elif isinstance(f.dataType, T.ArrayType):
-            yield (*prefix, f.name), f.dataType
+def _within(kind: T.DataType) -> list[T.DataType]:
+    """The types directly below a type."""
+    if isinstance(kind, T.StructType):
+        return [f.dataType for f in kind.fields]
+    return [kind.valueType] if isinstance(kind, T.MapType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+
+
+def _holds(kind: T.DataType, *sought: type) -> bool:
+    return isinstance(kind, sought) or any(_holds(x, *sought) for x in _within(kind))
+
+
+def _has_rows(kind: T.DataType) -> bool:
+    """Whether objects (structs, maps) are elements of an array somewhere in the type."""
+    return isinstance(kind, T.ArrayType) and isinstance(kind.elementType, _OBJECTS) or any(map(_has_rows, _within(kind)))
+
+
+_OBJECTS = (T.StructType, T.MapType)
+_AT = "array<struct<path:string,pos:string>>"
+_PAIRS = "array<struct<key:string,value:string>>"
+
+
+def _text(x: Column | str) -> Column:
+    return F.lit(x) if isinstance(x, str) else x
+
+
+def _joined(path: Column | str, key: Column | str) -> Column | str:
+    """Path and key with a dot; a text as long as no key of a map is part of it."""
+    if isinstance(path, str):
+        if isinstance(key, str) or not path:
+            return f"{path}.{key}" if path else key
+        return F.concat(F.lit(f"{path}."), key)
+    return F.when(path == "", _text(key)).otherwise(F.concat(path, F.lit("."), _text(key)))
 
 
-def _inline(schema: T.StructType, at: str, prefix: tuple[str, ...] = ()) -> Iterator[tuple[str, Column]]:
+def _spread(values: Column, below: Callable[[Column, Column], Column], kind: str) -> Column:
+    """The arrays that ``below`` makes of the elements of an array and their positions, as one; none for nulls."""
+    none = F.array().cast(kind)
+    return F.coalesce(F.flatten(F.transform(values, lambda x, i: F.coalesce(below(x, i), none))), none)
+
+
+def _pairs(c: Column, kind: T.DataType, path: Column | str) -> Column:
+    """Array of (dotted path, value) of the singleton descendants of an object; of paths that are equal the first counts."""
+    none = F.array().cast(_PAIRS)
+    pair = lambda k, v: F.struct(_text(k).alias("key"), v.cast("string").alias("value"))
+    if isinstance(kind, T.MapType):
+        at = lambda e: _joined(path, e["key"].cast("string"))
+        if isinstance(kind.valueType, _OBJECTS):
+            return _spread(F.map_entries(c), lambda e, _: _pairs(e["value"], kind.valueType, at(e)), _PAIRS)
+        return none if isinstance(kind.valueType, T.ArrayType) else F.coalesce(F.transform(F.map_entries(c), lambda e: pair(at(e), e["value"])), none)
+    inner = [_pairs(c.getField(f.name), f.dataType, _joined(path, f.name)) for f in kind.fields if isinstance(f.dataType, _OBJECTS)]
+    own = [pair(_joined(path, f.name), c.getField(f.name)) for f in kind.fields if not isinstance(f.dataType, (*_OBJECTS, T.ArrayType))]
+    return F.concat(none, *inner, F.array(*own).cast(_PAIRS))
+
+
+def _inline(schema: T.StructType, c: Column, path: str = "") -> Iterator[tuple[str, Column]]:
     for f in schema.fields:
-        c = (*prefix, f.name)
+        at, x = _joined(path, f.name), c.getField(f.name)
         if isinstance(f.dataType, T.StructType):
-            yield from _inline(f.dataType, at, c)
-        elif not isinstance(f.dataType, (T.ArrayType, T.MapType)):
-            yield ".".join(c), F.col(".".join([f"`{x}`" for x in (at, *c)]))
+            yield from _inline(f.dataType, x, at)
+        elif not isinstance(f.dataType, T.ArrayType):
+            yield at, x
 
 
-_AT = "array<struct<path:string,pos:string>>"
+def _values(c: Column, kind: T.DataType) -> Column:
+    """The inlined values of an object, as :func:`_scalars`."""
+    if not _keys_vary(kind):
+        found = list(_inline(kind, c))
+        if len({name for name, _ in found}) == len(found):
+            pairs = [x for name, v in found for x in (F.lit(name), v.cast("string"))]
+            return F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.expr("cast(map() as map<string,string>)")
+    pairs = F.filter(_pairs(c, kind, ""), lambda e: e["value"].isNotNull())
+    keys = F.transform(pairs, lambda e: e["key"])
+    first = F.filter(pairs, lambda e, i: F.array_position(keys, e["key"]) == i + 1)
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_entries(pairs)).otherwise(F.map_from_entries(first))
 
 
-def _positions(c: Column, kind: T.ArrayType, path: tuple[str, ...], around: Column | None = None) -> Column:
-    """Array of (path, pos) of the objects in an array column and in the arrays below it."""
-    none = F.array().cast(_AT)
-    at = lambda i: i.cast("string") if around is None else F.concat(around, F.lit("."), i.cast("string"))
-    spread = lambda below: F.coalesce(F.flatten(F.transform(c, lambda x, i: F.coalesce(below(x, at(i)), none))), none)
-    if isinstance(kind.elementType, T.ArrayType):
-        return spread(lambda x, i: _positions(x, kind.elementType, path, i))
-    if not isinstance(kind.elementType, T.StructType):
-        return none
-    own = F.transform(c, lambda x, i: F.when(x.isNotNull(), F.struct(F.lit(".".join(path)).alias("path"), at(i).alias("pos"))))
-    parts = [F.coalesce(F.filter(own, lambda e: e.isNotNull()), none)]
-    for keys, sub in _arrays(kind.elementType):
+def _keys_vary(kind: T.DataType) -> bool:
+    """Whether a map is among an object and its singleton descendants."""
+    return isinstance(kind, T.MapType) or isinstance(kind, T.StructType) and any(_keys_vary(f.dataType) for f in kind.fields)
 
-        def below(x: Column, i: Column, keys=keys, sub=sub) -> Column:
-            for k in keys:
-                x = x.getField(k)
-            return _positions(x, sub, (*path, *keys), i)
 
-        parts.append(spread(below))
-    return F.concat(*parts)
+def _positions(c: Column, kind: T.DataType, path: Column | str, around: Column | None = None) -> Column:
+    """Array of (path, pos) of the objects in the arrays of a value."""
+    none = F.array().cast(_AT)
+    if not _has_rows(kind):
+        return none
+    if isinstance(kind, T.StructType):
+        return F.concat(none, *[_positions(c.getField(f.name), f.dataType, _joined(path, f.name), around) for f in kind.fields if _has_rows(f.dataType)])
+    if isinstance(kind, T.MapType):
+        return _spread(F.map_entries(c), lambda e, _: _positions(e["value"], kind.valueType, _joined(path, e["key"].cast("string")), around), _AT)
+    at = lambda i: i.cast("string") if around is None else F.concat(around, F.lit("."), i.cast("string"))
+    parts = []
+    if isinstance(kind.elementType, _OBJECTS):
+        own = F.transform(c, lambda x, i: F.when(x.isNotNull(), F.struct(_text(path).alias("path"), at(i).alias("pos"))))
+        parts.append(F.coalesce(F.filter(own, lambda e: e.isNotNull()), none))
+    if _has_rows(kind.elementType):
+        parts.append(_spread(c, lambda x, i: _positions(x, kind.elementType, path, at(i)), _AT))
+    return F.concat(none, *parts)
 
 
 def struct_elements(df: DataFrame, key: str, fields: bool = True) -> DataFrame:
-    """Element rows of the typed array columns of ``df``, as :func:`json_elements`; all in the JVM.
+    """Element rows of the typed columns of ``df``, as :func:`json_elements`; all in the JVM.
 
-    The schema is the graph: each array of structs below it is one chain of ``posexplode``. Only the columns
-    that hold arrays are read.
+    The schema is the graph: each array of objects below it is one chain of ``posexplode``. Structs and maps are
+    objects, the keys of a map (as text) being keys like any other. Only the columns that hold arrays are read;
+    what a column with variants holds no schema tells, so it is read as JSON.
     """
     parts: list[DataFrame] = []
 
-    def walk(rows: DataFrame, at: str, path: tuple[str, ...], kind: T.ArrayType, up: str) -> None:
-        rows = rows.select("record_key", "pos", F.lit(up).alias("parent_path"), F.col("pos").alias("parent_pos"), F.posexplode(at).alias("i", "v"))
-        rows = rows.withColumn("pos", F.when(F.col("pos") == "", F.col("i").cast("string")).otherwise(F.concat_ws(".", "pos", "i")))
-        while isinstance(kind.elementType, T.ArrayType):
-            kind = kind.elementType
-            rows = rows.select("record_key", "pos", "parent_path", "parent_pos", F.posexplode("v").alias("i", "v")).withColumn("pos", F.concat_ws(".", "pos", "i"))
-        if not isinstance(kind.elementType, T.StructType):
+    def walk(rows: DataFrame, c: Column, path: Column | str, kind: T.DataType) -> None:
+        """``rows`` has the key of the record, the positions so far and the element (or record) around value ``c``."""
+        if not _has_rows(kind):
+            return
+        if isinstance(kind, T.StructType):
+            for f in kind.fields:
+                walk(rows, c.getField(f.name), _joined(path, f.name), f.dataType)
             return
-        rows = rows.where(F.col("v").isNotNull())
-        own = ".".join(path)
-        cols = [F.col("record_key"), F.lit(own).alias("path"), F.col("pos")]
-        if fields:
-            pairs = [x for name, c in _inline(kind.elementType, "v") for x in (F.lit(name), c.cast("string"))]
-            values = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.expr("cast(map() as map<string,string>)")
-            cols += [F.col("parent_path"), F.col("parent_pos"), values.alias("fields")]
-        parts.append(rows.select(*cols))
-        for below, sub in _arrays(kind.elementType):
-            walk(rows, ".".join(f"`{x}`" for x in ("v", *below)), (*path, *below), sub, own)
-
-    found = [(p, k) for p, k in _arrays(df.schema)]
-    if found:
+        held = ["record_key", "pos", "parent_path", "parent_pos", _text(path).alias("path")]
+        own = path if isinstance(path, str) else F.col("path")
+        if isinstance(kind, T.MapType):
+            walk(rows.select(*held, F.explode(c).alias("k", "v")), F.col("v"), _joined(own, F.col("k").cast("string")), kind.valueType)
+            return
+        rows = rows.select(*held, F.posexplode(c).alias("i", "v"))
+        rows = rows.withColumn("pos", F.when(F.col("pos") == "", F.col("i").cast("string")).otherwise(F.concat_ws(".", "pos", "i")))
+        if isinstance(kind.elementType, _OBJECTS):
+            rows = rows.where(F.col("v").isNotNull())
+            parts.append(rows.select("record_key", _text(own).alias("path"), "pos", "parent_path", "parent_pos", _values(F.col("v"), kind.elementType).alias("fields")))
+            rows = rows.select("record_key", "pos", "path", _text(own).alias("parent_path"), F.col("pos").alias("parent_pos"), "v")
+        walk(rows, F.col("v"), own, kind.elementType)
+
+    unknown = [f.name for f in df.schema.fields if _holds(f.dataType, T.VariantType)]
+    found = [f for f in df.schema.fields if _holds(f.dataType, T.ArrayType) and f.name not in unknown]
+    if found or unknown:
         # the columns travel in one struct, so none of them can clash with the columns made here
-        source = F.struct(*[F.col(f"`{c}`") for c in dict.fromkeys(p[0] for p, _ in found)]).alias("source")
-        base = df.select(F.col(f"`{key}`").cast("string").alias("record_key"), source)
-        base = (base.withColumn("_text", F.to_json("source")).dropDuplicates(["record_key", "_text"]).drop("_text") if "map<" in base.schema["source"].dataType.simpleString() else base.distinct()).withColumn("pos", F.lit(""))
-        if not fields:  # one scan, one shuffle, one explode for all arrays
-            every = F.concat(*[_positions(F.col(".".join(f"`{x}`" for x in ("source", *path))), kind, path) for path, kind in found])
-            return base.select("record_key", F.explode(every).alias("e")).select("record_key", "e.path", "e.pos")
-        for path, kind in found:
-            walk(base, ".".join(f"`{x}`" for x in ("source", *path)), path, kind, "")
+        source = [F.struct(*[F.col(f"`{f.name}`") for f in found]).alias("source")] if found else []
+        text = [F.to_json(F.struct(*[F.col(f"`{c}`") for c in unknown]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("text")] if unknown else []
+        base = df.select(F.col(f"`{key}`").cast("string").alias("record_key"), *source, *text)
+        base = base.groupBy(*base.columns).agg(F.count("*").alias("n")).drop("n") if any(_holds(f.dataType, T.MapType) for f in found) else base.distinct()
+        if unknown:
+            parts.append(_read(_read_elements(base.select("record_key", "text"), fields)))
+        kind = T.StructType(found)
+        if not fields and _has_rows(kind):  # one scan, one shuffle, one explode for all arrays
+            parts.append(base.select("record_key", F.explode(_positions(F.col("source"), kind, "")).alias("e")).select("record_key", "e.path", "e.pos"))
+        elif found:
+            walk(base.select("record_key", "source", *[F.lit("").alias(c) for c in ("pos", "parent_path", "parent_pos")]), F.col("source"), "", kind)
     if not parts:
         extra = ", parent_path string, parent_pos string, fields map<string,string>" if fields else ""
         return df.sparkSession.createDataFrame([], f"record_key string, path string, pos string{extra}")

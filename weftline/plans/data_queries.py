@@ -20,9 +20,11 @@ def p2_open(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The keys of all element tables. They come from the elements with foreign keys and inlined values; those without
-    a parent, which shared inlining never makes, would not be rows."""
-    return _elements(spark, sf_dir).where("parent_path is not null").select("origin", "record_key", "path", "pos")
+    """The keys of all element tables. The tables are written with foreign keys and inlined values first: of a plan that
+    ends in the keys alone, Catalyst would leave out what makes the rest. Rows without a parent, which shared inlining
+    never makes, would not be rows."""
+    tables = materialize(_elements(spark, sf_dir), "elements")
+    return tables.where("parent_path is not null").select("origin", "record_key", "path", "pos")
 
 
 def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
