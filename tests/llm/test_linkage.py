@@ -1,5 +1,6 @@
 import json
 import random
+import re
 
 from weftline.llm import linkage as L
 
@@ -213,3 +214,31 @@ def test_source_that_outgrows_its_slot(spark, monkeypatch):
     assert pairs(spark, items) == brute(items)
     monkeypatch.setattr(L, "CROWD", 3)
     assert pairs(spark, items) == brute(items)
+
+
+def test_history_stays_where_it_lies_while_keys_are_counted(spark, monkeypatch):
+    """Only rows of the batch are moved for it, also with sources over several slots and more partitions than buckets."""
+    begin, write, plans = L.Linker._begin, L.materialize, []
+
+    def tight(self, spark, home, state):
+        begin(self, spark, home, state | {"slot_rows": 4})
+
+    def watched(df, name):
+        if name == "crowded":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(L.Linker, "_begin", tight)
+    monkeypatch.setattr(L, "materialize", watched)
+    monkeypatch.setattr(L, "CROWD", 10)
+    items = [(f"r{n:03}", "hub" if n % 3 else "small", n // 30, None, doc(f"Title {n} of this", near(n % 7, n % 4))) for n in range(90)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        assert pairs(spark, items) == brute(items)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(plans) == 3
+    for plan in plans[1:]:
+        moved = re.findall(r"hashpartitioning\((.*?), \d+\)", plan)
+        assert moved and not [m for m in moved if m.startswith("slot") and "key" in m]

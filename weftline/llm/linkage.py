@@ -312,6 +312,7 @@ _TABLES = {
 }
 _LINKS = "src long, a binary, b binary, via string, share double, weight double, linked boolean, c_sketch int, c_title int, c_size int, step int"
 _ONE_WAY = "spark.sql.requireAllClusterKeysForCoPartition"
+_WRITERS = "spark.sql.maxConcurrentOutputFileWriters"
 
 
 class Linker:
@@ -358,7 +359,12 @@ class Linker:
     def _append(self, df: DataFrame, name: str) -> None:
         """Add rows of this step to a table, one file a bucket."""
         columns = [c.split()[0] for c in _TABLES[name].split(", ")]
-        df.withColumn("step", F.lit(self.step)).select(*columns).repartition(self.state["buckets"], "slot").write.insertInto(self._name(name))
+        before = self.spark.conf.get(_WRITERS, "0")
+        self.spark.conf.set(_WRITERS, "1")  # a task has one bucket, so its rows need not be sorted by bucket
+        try:
+            df.withColumn("step", F.lit(self.step)).select(*columns).repartition(self.state["buckets"], "slot").write.insertInto(self._name(name))
+        finally:
+            self.spark.conf.set(_WRITERS, before)
 
     def _read(self, name: str) -> DataFrame:
         """Rows of steps that were finished, and of the present one; only slots of the present batch during one."""
@@ -394,11 +400,14 @@ class Linker:
             return self._placed(df, name)
         return df.withColumn("slot", F.expr(f"explode(array_distinct(transform({self._ways()}, w -> {self._slot(name, 'w')})))"))
 
+    def _counted(self) -> DataFrame:
+        """``src, n, step``: rows of each source in the finished steps and the present one."""
+        return self.spark.read.schema("src long, n long, step int").parquet(f"{self.home}/sources").where(F.col("step").isin([*self.state["steps"], self.step]))
+
     def _spread(self, rows: DataFrame) -> None:
         """Count the sources of the batch, spread those that outgrew their slots, and note which slots the batch needs."""
-        path = f"{self.home}/sources"
-        rows.groupBy("src").agg(F.count("*").alias("n")).write.parquet(f"{path}/step={self.step}")
-        counted = self.spark.read.schema("src long, n long, step int").parquet(path).where(F.col("step").isin([*self.state["steps"], self.step]))
+        rows.groupBy("src").agg(F.count("*").alias("n")).write.parquet(f"{self.home}/sources/step={self.step}")
+        counted = self._counted()
         known = {src: ways for src, ways in self.state["spread"]}
         slots = self.state["buckets"] * SLOTS
         # a source is listed here only once it fills more than a slot
@@ -454,9 +463,9 @@ class Linker:
             fresh = rows.groupBy("src", "cls").agg(F.first("words").alias("words"), F.max("tkey").alias("tkey")).withColumn("title", F.expr("cast(tkey & 2147483647 as int)"))
             if self.state["steps"]:
                 # the classes of the batch alone are sought in the table
-                names = rows.select("src", "cls").distinct()
-                known = self._sought(names, "cls").join(self._read("classes").select("slot", "cls"), ["slot", "cls"], "left_semi")
-                fresh = fresh.join(known.select("cls").distinct(), "cls", "left_anti")
+                names = self._sought(rows.select("src", "cls"), "cls").select("slot", "cls")
+                known = self._read("classes").select("slot", "src", "cls").join(names.hint("shuffle_hash"), ["slot", "cls"], "left_semi")
+                fresh = fresh.join(known.select("src", "cls").distinct(), ["src", "cls"], "left_anti")
             self._append(self._placed(fresh, "cls"), "classes")
             own = self._read("classes").where(F.col("step") == self.step)
             self._append(self._placed(block_keys(own), "key"), "keys")
@@ -484,7 +493,7 @@ class Linker:
         title, each between a class and the one class of that title without text."""
         new = F.col("step") == self.step
         mine = self._read("exact").where(new)
-        touched = self._sought(mine.select("src", "key").distinct(), "key").select("slot", "key")
+        touched = self._sought(mine.select("src", "key"), "key").select("slot", "key").hint("shuffle_hash")
         every = self._read("exact").join(touched, ["slot", "key"], "left_semi") if self.state["steps"] else mine
         first = every.groupBy("key", "titled").agg(F.min(F.struct("step", "cls")).alias("first"), F.min(F.when(F.col("titled") & F.col("bare"), F.struct("step", "cls"))).alias("none"))
         rows = every.select("src", "key", "titled", "cls", "step").join(first, ["key", "titled"])
@@ -496,9 +505,15 @@ class Linker:
         keys = self._read("keys")
         probe = keys.where(F.col("step") == self.step)
         sought = self._sought(probe.drop("slot"), "key") if self.state["spread"] and self.state["steps"] else probe
-        touched = keys.join(sought.select("slot", "key").distinct().hint("shuffle_hash"), ["slot", "key"], "left_semi") if self.state["steps"] else keys
-        # counted where the rows lie; a key of a source that was spread later has rows in several slots
+        # a key of a source that was spread later has rows in several slots
         levels = max((len(ways) for _, ways in self.state["spread"]), default=1)
+        # a key has no more classes than its source has rows
+        large = self._counted().groupBy("src").agg(F.sum("n").alias("n")).where(F.col("n") > CROWD // levels).select("src")
+        touched = sought.join(materialize(large, "large-sources"), "src", "left_semi")
+        if self.state["steps"]:
+            # not made distinct before: their shuffle would count as the wider one, and all of history would follow it
+            touched = keys.join(touched.select("slot", "key").hint("shuffle_hash"), ["slot", "key"], "left_semi")
+        # counted where the rows lie
         full = touched.groupBy("slot", "key").agg(F.count("*").alias("n"), F.max("src").alias("src")).where(F.col("n") > CROWD // levels)
         full = materialize(full.select("src", "key").distinct(), "crowded")
         if full.isEmpty():
